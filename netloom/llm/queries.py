@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from netloom.llm import sentencepiece_codec, token_files
+from netloom.llm import line_crf, sentencepiece_codec, simhash, token_files
 from netloom.llm.shared import fresh_path, table
 
 
@@ -15,6 +16,30 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Scores from which on a document counts as good.
+QUALITY = 0.3
+
+
+def held_out(doc_id: Column) -> Column:
+    """Rows that no model learns from: a fifth, by the id's checksum."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> line_crf.Model:
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
+    return line_crf.train(docs, labels)
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = line_crf.scored(docs, quality_model(spark, docs, sf_dir))
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= QUALITY).cast("int").alias("predicted"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -26,6 +51,8 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_simhash": op2_simhash,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_token_files": op4_token_files,
 }
