@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import line_crf, sentencepiece_codec, simhash, token_files
+from netloom.llm import html_text, line_crf, sentencepiece_codec, simhash, token_files, warc
 from netloom.llm.shared import fresh_path, table
 
 
@@ -50,11 +50,31 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read(spark, path))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+    return warc.read(index, payloads=False).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_token_files": op4_token_files,
+    "op5_html_text": op5_html_text,
+    "op6_warc": op6_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, url, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+        g AS (SELECT payload_digest, max(page_id) AS newest FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+        SELECT d.page_id, CAST(d.payload_bytes AS BIGINT) AS payload_bytes, d.payload_digest,
+               CASE WHEN d.page_id < g.newest THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN d.page_id < g.newest THEN g.newest END AS refers_to, d.url
+        FROM d LEFT JOIN g USING (payload_digest)""",
+}

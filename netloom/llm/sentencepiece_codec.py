@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from netloom.llm.wordcache import MEMO, MEMO_CHARS, ChunkMemo, words
+from netloom.llm.wordcache import ChunkMemo, Memo, words
 
 SPACE = "▁"
 #: Pairs in the memo of re-merged neighbours; beyond it the memo starts anew.
@@ -83,7 +83,7 @@ class SentencePieceCodec:
         self._joint = {a + b for p in self.id for a, b in zip(p, p[1:], strict=False)}
         self._id_bytes = {p: np.array([i], "<i4").tobytes() for p, i in self.id.items()}
         self._id_bytes_of_byte = {b: np.array([i], "<i4").tobytes() for b, i in self.byte_id.items()}
-        self._parts: dict[str, bytes] = {}
+        self._parts = Memo()
         #: No piece goes on with a space sign after something else, or holds a newline: chunks begin there.
         self._by_word = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.id)
         self._memo = ChunkMemo(self._fill)
@@ -155,10 +155,7 @@ class SentencePieceCodec:
         got = self._parts.get(part)
         if got is None:
             got = b"".join(map(self._raw, self.split(part)))
-            if len(part) <= MEMO_CHARS:
-                if len(self._parts) > MEMO:
-                    self._parts.clear()
-                self._parts[part] = got
+            self._parts.put(part, got)
         return got
 
     def _chunk(self, chunk: str) -> bytes:

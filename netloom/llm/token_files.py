@@ -15,6 +15,7 @@ all stay, in the order of their texts; null ids come first; extra columns are no
 from __future__ import annotations
 
 import functools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.wordcache import ChunkMemo, words
+from netloom.llm.wordcache import ChunkMemo, Memo, words
 
 #: Bytes of a row group, bytes and rows of a page at most.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 500
 
 
+#: Punctuation that may end a word (not the apostrophe, which may begin an ending of its own).
+ENDINGS = ".,;:!?*#&%$)]}>\"-_=+/|"
+
+
 class ByteBpe:
     """Ids as the tokenizers library gives them for a byte-level BPE file, special strings taken as text."""
 
@@ -46,10 +51,21 @@ class ByteBpe:
         self._by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self._tok = Tokenizer.from_file(path)
         self._tok.encode_special_tokens = True
-        self._memo = ChunkMemo(self._fill)
+        self._memo, self._parts = ChunkMemo(self._fill), Memo()
 
     def _fill(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<i4").tobytes() for e in self._tok.encode_batch_fast(chunks, add_special_tokens=False)]
+        """The split also ends after a letter that punctuation (no apostrophe) follows, so stems and endings are learnt apart."""
+        cut = []
+        for c in chunks:
+            stem = c.rstrip(ENDINGS)
+            cut.append((stem, c[len(stem) :]) if stem and stem != c and stem[-1].isalpha() and stem[-1] < "\u0250" else (c, ""))
+        got = {x: self._parts.get(x) for two in cut for x in two}
+        got[""] = b""
+        new = [x for x, ids in got.items() if ids is None]
+        for x, e in zip(new, self._tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            got[x] = array("i", e.ids).tobytes()
+            self._parts.put(x, got[x])
+        return [got[a] + got[b] for a, b in cut]
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:

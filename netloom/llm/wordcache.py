@@ -9,29 +9,55 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-#: Entries of each memo; beyond it the memo starts anew (only speed depends on it).
-MEMO = 600_000
+#: Entries of either generation of a memo (only speed and memory depend on it).
+MEMO = 250_000
 #: Longer chunks are encoded each time.
 MEMO_CHARS = 64
 
 
-class ChunkMemo:
+class Memo:
+    """Two generations: when the young one is full it becomes the old one; what is asked for there comes back."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def older(self, key: str) -> bytes | None:
+        got = self._old.get(key)
+        if got is not None:
+            self.put(key, got)
+        return got
+
+    def get(self, key: str) -> bytes | None:
+        got = self.young.get(key)
+        return self.older(key) if got is None else got
+
+    def put(self, key: str, ids: bytes) -> None:
+        if len(key) <= MEMO_CHARS:
+            if len(self.young) >= MEMO:
+                self._old, self.young = self.young, {}
+            self.young[key] = ids
+
+
+class ChunkMemo(Memo):
     """Ids (as bytes of little-endian int32) of chunks; `fill` encodes a list of new chunks."""
 
     def __init__(self, fill: Callable[[list[str]], list[bytes]]):
+        super().__init__()
         self._fill = fill
-        self._memo: dict[str, bytes] = {}
 
     def joined(self, chunks: list[str]) -> bytes:
-        got = list(map(self._memo.get, chunks))
+        got = list(map(self.young.get, chunks))
         if None in got:
-            holes = [i for i, x in enumerate(got) if x is None]
-            if len(self._memo) > MEMO:
-                self._memo.clear()
-            for i, ids in zip(holes, self._fill([chunks[i] for i in holes]), strict=True):
+            new = []
+            for i, x in enumerate(got):
+                if x is None:
+                    got[i] = self.older(chunks[i])
+                    if got[i] is None:
+                        new.append(i)
+            for i, ids in zip(new, self._fill([chunks[i] for i in new]), strict=True):
                 got[i] = ids
-                if len(chunks[i]) <= MEMO_CHARS:
-                    self._memo[chunks[i]] = ids
+                self.put(chunks[i], ids)
         return b"".join(got)
 
 
