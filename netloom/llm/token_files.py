@@ -33,6 +33,10 @@ ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 500
 #: Punctuation that may end a word (not the apostrophe, which may begin an ending of its own).
 ENDINGS = ".,;:!?*#&%$)]}>\"-_=+/|"
 
+#: White space other than space and newline.
+ASCII_SPACES = "\t\r\v\f\x1c\x1d\x1e\x1f"
+SPACES = ASCII_SPACES + "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 class ByteBpe:
     """Ids as the tokenizers library gives them for a byte-level BPE file, special strings taken as text."""
@@ -54,6 +58,9 @@ class ByteBpe:
         self._memo, self._parts = ChunkMemo(self._fill), Memo()
 
     def _fill(self, chunks: list[str]) -> list[bytes]:
+        return self._split([c if c[0] == "\n" else " " + c for c in chunks])
+
+    def _split(self, chunks: list[str]) -> list[bytes]:
         """The split also ends after a letter that punctuation (no apostrophe) follows, so stems and endings are learnt apart."""
         cut = []
         for c in chunks:
@@ -70,12 +77,13 @@ class ByteBpe:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, "<i4")
-        chunks = words(text) if self._by_word else None
-        if chunks is None or len(chunks) != len(text.split()) or "\n" in chunks:  # other white space, or several in a row
+        chunks = words(text) if self._by_word and not any(c in text for c in (SPACES if not text.isascii() else ASCII_SPACES)) else None
+        if chunks is None or "\n" in chunks:  # other white space, or several in a row
             return np.array(self._tok.encode(text, add_special_tokens=False).ids, "<i4")
-        out = [c if c[0] == "\n" else " " + c for c in chunks]
-        out[0] = chunks[0]
-        return np.frombuffer(self._memo.joined(out), "<i4")
+        first = chunks[0]
+        if first[0] == "\n":
+            return np.frombuffer(self._memo.joined(chunks), "<i4")
+        return np.frombuffer(self._split([first])[0] + self._memo.joined(chunks[1:]), "<i4")
 
 
 @functools.lru_cache(2)
