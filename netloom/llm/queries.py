@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import html_text, line_crf, sentencepiece_codec, simhash, token_files, warc
+from netloom.llm import html_text, line_crf, pivot_index, sentencepiece_codec, simhash, token_files, warc
 from netloom.llm.shared import fresh_path, table
 
 
@@ -59,6 +59,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(index, payloads=False).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+def op7_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
@@ -66,9 +70,19 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op5_html_text": op5_html_text,
     "op6_warc": op6_warc,
+    "op7_pivot_index": op7_pivot_index,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_pivot_index": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS x FROM embeddings),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+              AND array_cosine_similarity(a.x, b.x) >= 0.95),
+        r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        m AS (SELECT a, min(b) AS least FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(m.least, vec_id)) AS component_id,
+               vec_id <= coalesce(m.least, vec_id) AS kept
+        FROM v LEFT JOIN m ON m.a = vec_id LEFT JOIN n ON n.a = vec_id""",
     "op6_warc": """
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, url, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest FROM p),
