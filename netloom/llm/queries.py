@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import html_text, line_crf, pivot_index, sentencepiece_codec, simhash, token_files, warc
+from netloom.llm import decontaminate, html_text, line_crf, pivot_index, sentencepiece_codec, simhash, token_files, warc
 from netloom.llm.shared import fresh_path, table
 
 
@@ -63,6 +63,10 @@ def op7_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
@@ -71,9 +75,28 @@ QUERIES = {
     "op5_html_text": op5_html_text,
     "op6_warc": op6_warc,
     "op7_pivot_index": op7_pivot_index,
+    "op8_decontaminate": op8_decontaminate,
 }
 
+#: Every window of an item's size that shares a shingle with it, compared exactly.
+SQL_WINDOWS = """
+        WITH dw AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g')), ' ') AS w FROM {docs}),
+        iw AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark),
+        i AS (SELECT item_id, len(w) AS n, least(len(w), 5) AS k, w FROM iw WHERE w[1] <> ''),
+        ish AS (SELECT item_id, n, k, array_to_string(w[p:p + k - 1], ' ') AS s, count(*) AS c FROM (SELECT *, unnest(range(1, n - k + 2)) AS p FROM i) GROUP BY ALL),
+        dsh AS (SELECT doc_id, kk.k, len(w) AS size, p, array_to_string(w[p:p + kk.k - 1], ' ') AS s
+                FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM dw) JOIN (SELECT DISTINCT k FROM i) kk ON p + kk.k - 1 <= len(w)),
+        hit AS (SELECT DISTINCT d.doc_id, ish.item_id, ish.n, ish.k, d.size, d.p FROM dsh d JOIN ish USING (k, s)),
+        win AS (SELECT DISTINCT doc_id, item_id, n, k, size, unnest(range(least(greatest(p - 1 + k - n, 0), greatest(size - n, 0)), least(p - 1, greatest(size - n, 0)) + 1)) AS start FROM hit),
+        cnt AS (SELECT win.doc_id, win.item_id, win.n, win.k, win.start, least(win.n, win.size) - win.k + 1 AS m, d.s, count(*) AS c
+                FROM win JOIN dsh d ON d.doc_id = win.doc_id AND d.k = win.k AND d.p - 1 BETWEEN win.start AND win.start + least(win.n, win.size) - win.k GROUP BY ALL),
+        sim AS (SELECT cnt.doc_id, cnt.item_id, cnt.n, cnt.start, sum(least(cnt.c, ish.c))::DOUBLE / (cnt.m + cnt.n - cnt.k + 1 - sum(least(cnt.c, ish.c)))::DOUBLE AS similarity
+                FROM cnt JOIN ish USING (item_id, s) GROUP BY cnt.doc_id, cnt.item_id, cnt.n, cnt.k, cnt.start, cnt.m)
+        SELECT doc_id, item_id, max(similarity) AS similarity, CAST(arg_min(start, (-similarity, start)) AS INTEGER) AS start_word, CAST(n AS INTEGER) AS n_words
+        FROM sim WHERE similarity >= 0.8 GROUP BY doc_id, item_id, n"""
+
 ORACLES: dict[str, str] = {
+    "op8_decontaminate": SQL_WINDOWS.replace("{docs}", "documents"),
     "op7_pivot_index": """
         WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS x FROM embeddings),
         l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
