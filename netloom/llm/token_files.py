@@ -15,7 +15,6 @@ all stay, in the order of their texts; null ids come first; extra columns are no
 from __future__ import annotations
 
 import functools
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.wordcache import ChunkMemo, Memo, words
+from netloom.llm.wordcache import MEMO_CHARS, ChunkMemo, Memo, words
 
 #: Bytes of a row group, bytes and rows of a page at most.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 500
@@ -56,23 +55,48 @@ class ByteBpe:
         self._tok = Tokenizer.from_file(path)
         self._tok.encode_special_tokens = True
         self._memo, self._parts = ChunkMemo(self._fill), Memo()
+        newline = self._tok.encode("\n", add_special_tokens=False).ids
+        self._by_word = self._by_word and len(newline) == 1
+        self._newline_id, self._newline = newline[0] if newline else -1, np.array(newline, "<i4").tobytes()
 
     def _fill(self, chunks: list[str]) -> list[bytes]:
         return self._split([c if c[0] == "\n" else " " + c for c in chunks])
 
     def _split(self, chunks: list[str]) -> list[bytes]:
-        """The split also ends after a letter that punctuation (no apostrophe) follows, so stems and endings are learnt apart."""
-        cut = []
+        """The split also ends after a newline that a word follows, and after a letter that punctuation (no apostrophe) follows: such parts are learnt apart."""
+        self._parts.turn()
+        young, old = self._parts.young, self._parts.old
+        lead, stems, tails = [], [], []
         for c in chunks:
+            line = c[0] == "\n"
+            lead.append(self._newline if line else b"")
+            if line:
+                c = c[1:]
             stem = c.rstrip(ENDINGS)
-            cut.append((stem, c[len(stem) :]) if stem and stem != c and stem[-1].isalpha() and stem[-1] < "\u0250" else (c, ""))
-        got = {x: self._parts.get(x) for two in cut for x in two}
-        got[""] = b""
-        new = [x for x, ids in got.items() if ids is None]
-        for x, e in zip(new, self._tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            got[x] = array("i", e.ids).tobytes()
-            self._parts.put(x, got[x])
-        return [got[a] + got[b] for a, b in cut]
+            if stem and stem != c and stem[-1].isalpha() and stem[-1] < "\u0250":
+                stems.append(stem)
+                tails.append(c[len(stem) :])
+            else:
+                stems.append(c)
+                tails.append("")
+        got = self._encoded([x for x in {*stems, *tails} if x and x not in young and x not in old])
+        young.update((x, ids) for x, ids in got.items() if len(x) <= MEMO_CHARS)
+
+        def ids(x: str) -> bytes:
+            y = young.get(x)
+            return y if y is not None else got[x] if x in got else old[x]
+
+        return [n + ids(a) + ids(b) if b else n + ids(a) for n, a, b in zip(lead, stems, tails, strict=True)]
+
+    def _encoded(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts without white space but at their start: in one call, as lines of a text, whose newlines have an id of their own."""
+        if not parts:
+            return {}
+        ids = np.array(self._tok.encode_batch_fast(["\n".join(parts)], add_special_tokens=False)[0].ids, "<i4")
+        ends = np.flatnonzero(ids == self._newline_id)
+        raw = ids.tobytes()
+        begin = 4 * np.concatenate([[0], ends + 1])
+        return {x: raw[i:j] for x, i, j in zip(parts, begin.tolist(), [*(4 * ends).tolist(), len(raw)], strict=True)}
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:

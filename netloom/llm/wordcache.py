@@ -20,22 +20,24 @@ class Memo:
 
     def __init__(self) -> None:
         self.young: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def older(self, key: str) -> bytes | None:
-        got = self._old.get(key)
-        if got is not None:
-            self.put(key, got)
-        return got
+    def turn(self) -> None:
+        """To be called now and then: makes room."""
+        if len(self.young) >= MEMO:
+            self.old, self.young = self.young, {}
 
     def get(self, key: str) -> bytes | None:
         got = self.young.get(key)
-        return self.older(key) if got is None else got
+        if got is None:
+            got = self.old.get(key)
+            if got is not None:
+                self.young[key] = got
+        return got
 
     def put(self, key: str, ids: bytes) -> None:
         if len(key) <= MEMO_CHARS:
-            if len(self.young) >= MEMO:
-                self._old, self.young = self.young, {}
+            self.turn()
             self.young[key] = ids
 
 
@@ -49,15 +51,19 @@ class ChunkMemo(Memo):
     def joined(self, chunks: list[str]) -> bytes:
         got = list(map(self.young.get, chunks))
         if None in got:
-            new = []
-            for i, x in enumerate(got):
-                if x is None:
-                    got[i] = self.older(chunks[i])
-                    if got[i] is None:
-                        new.append(i)
+            self.turn()
+            young, old, new = self.young, self.old, []
+            for i in [i for i, x in enumerate(got) if x is None]:
+                c = chunks[i]
+                ids = old.get(c)
+                if ids is None:
+                    new.append(i)
+                else:
+                    got[i] = young[c] = ids
             for i, ids in zip(new, self._fill([chunks[i] for i in new]), strict=True):
                 got[i] = ids
-                self.put(chunks[i], ids)
+                if len(chunks[i]) <= MEMO_CHARS:
+                    young[chunks[i]] = ids
         return b"".join(got)
 
 
