@@ -27,6 +27,8 @@ are reported together with a null id; extra columns are not read; ties go to the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +38,8 @@ WIDTH, LEAST = 5, 0.8
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 4
 #: Differences up to which the blocks find every fingerprint.
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
-#: Anchors that are sent to all executors; beyond, they are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Anchors that are tested within the scan; beyond, they are joined by a shuffle.
+INLINE_ANCHORS = 50_000
 NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
 
 
@@ -47,9 +49,13 @@ def words(text: Column) -> Column:
 
 
 def hashes(w: Column, width: int) -> Column:
-    """A hash by position of each shingle of so many words."""
-    every = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, width)]))
-    return F.slice(every, 1, F.greatest(F.size(w) - (width - 1), F.lit(0)))
+    """A hash by position of each shingle of so many words. w is bound once, whatever expression it is: the optimizer may put it in place of a column."""
+
+    def of(v: Column) -> Column:
+        every = F.transform(v, lambda x, i: F.xxhash64(x, *[F.get(v, i + k) for k in range(1, width)]))
+        return F.slice(every, 1, F.greatest(F.size(v) - (width - 1), F.lit(0)))
+
+    return F.element_at(F.transform(F.array(w), of), 1)
 
 
 def shingle(w: Column, at: Column, width: int) -> Column:
@@ -76,6 +82,28 @@ def _block(fp: Column, b: int) -> Column:
     return F.shiftrightunsigned(fp, b * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
 
 
+def _among(values: list[int]) -> Callable[[Column], Column]:
+    return lambda h: h.isin(values)
+
+
+def _suspects(text: DataFrame, anchors: DataFrame, widths: list[int]) -> DataFrame:
+    """id, row (hash of the text), w (words) of texts that hold an anchor, each once."""
+    known = text.withColumn("row", F.xxhash64("text")).withColumn("w", words(F.col("text")))
+    if anchors.count() <= INLINE_ANCHORS:
+        holds = F.lit(False)
+        for k in widths:
+            holds = holds | F.exists(hashes(F.col("w"), k), _among([r["h"] for r in anchors.filter(F.col("k") == k).select("h").distinct().collect()]))
+        found = known.filter(holds).select("id", "row", "w")
+    else:
+        rows = None
+        for k in widths:
+            one = known.select("id", "row", F.explode(hashes(F.col("w"), k)).alias("h")).join(anchors.filter(F.col("k") == k).select("h").distinct(), "h", "left_semi").select("id", "row")
+            rows = one if rows is None else rows.unionAll(one)
+        rows = rows.distinct().select(F.col("id").alias("_id"), F.col("row").alias("_row"))
+        found = known.join(rows, F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left_semi").select("id", "row", "w")
+    return written(written(found, "found").dropDuplicates(["id", "row"]), "suspects")
+
+
 def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """id_col, item_col, similarity, start_word, n_words: the best window of each document and item that match."""
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
@@ -94,12 +122,11 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, width: int
         one = x.select("item", "n", F.lit(k).alias("k"), F.explode(F.slice(F.array_sort(F.array_distinct("h")), 1, (most + 1).cast("int"))).alias("h"))
         anchors = one if anchors is None else anchors.unionAll(one)
     anchors = written(anchors, "anchors")
-    few = anchors.count() <= BROADCAST_ROWS
+    suspects = _suspects(text, anchors, widths)
 
     def met(k: int) -> DataFrame:
         a = anchors.filter(F.col("k") == k).select("n", "h").distinct()
-        a = F.broadcast(a) if few else a
-        found = text.select("id", F.xxhash64("text").alias("row"), words(F.col("text")).alias("w")).select("id", "row", F.size("w").alias("size"), F.posexplode(hashes(F.col("w"), k)).alias("at", "h"))
+        found = suspects.select("id", "row", F.size("w").alias("size"), F.posexplode(hashes(F.col("w"), k)).alias("at", "h"))
         return found.join(a, "h").select("id", "row", "size", F.lit(k).alias("k"), "n", "at")
 
     hits = met(widths[0])
@@ -109,9 +136,6 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, width: int
     last = F.greatest(F.col("size") - F.col("n"), F.lit(0))
     starts = F.sequence(F.least(F.greatest(F.col("at") + F.col("k") - F.col("n"), F.lit(0)), last), F.least(F.col("at"), last))
     hits = written(hits.select("id", "row", "size", "k", "n", F.explode(starts).alias("start")).distinct(), "windows")
-    found = hits.select("id", "row").distinct()
-    suspects = text.withColumn("row", F.xxhash64("text")).join(found.withColumnsRenamed({"id": "_id", "row": "_row"}), F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left_semi").dropDuplicates(["id", "row"])
-    suspects = written(suspects.select("id", "row", words(F.col("text")).alias("w")), "suspects")
     same_row = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.row") == F.col(f"{b}.row"))
 
     # Fingerprints of windows and of items.
@@ -133,13 +157,17 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, width: int
     keyed = prints.select("id", "row", "k", "n", "start", "m", "fp", F.posexplode(F.array(*[_block(F.col("fp"), b) for b in range(BLOCKS)])).alias("block", "value"))
     apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
     first = F.coalesce(*[F.when(F.bit_count(_block(apart, b)) <= BLOCK_RADIUS, F.lit(b)) for b in range(BLOCKS)])
-    candidates = keyed.join(listed, ["k", "n", "block", "value"]).filter((F.bit_count(apart) <= RADIUS) & (first == F.col("block"))).select("id", "row", "k", "n", "start", "m", "item")
+    candidates = keyed.join(listed.hint("merge"), ["k", "n", "block", "value"]).filter((F.bit_count(apart) <= RADIUS) & (first == F.col("block"))).select("id", "row", "k", "n", "start", "m", "item")
 
     # Exact weighted similarity of their shingles.
     total = None
     for k, x in by_width:
         own = x.select("item", F.size("h").alias("item_m"), F.explode(F.transform(F.sequence(F.lit(0), F.size("h") - 1), lambda i: shingle(F.col("w"), i, k))).alias("s")).groupBy("item", "item_m", "s").agg(F.count("*").alias("item_n"))
-        held = candidates.filter(F.col("k") == k).alias("a").join(suspects.alias("b"), same_row("a", "b")).select("a.id", "a.row", "a.item", "a.n", "a.start", "a.m", F.explode(F.transform(F.sequence(F.col("a.start"), F.col("a.start") + F.col("a.m") - 1), lambda i: shingle(F.col("b.w"), i, k))).alias("s"))
+        # The window's shingles that are among the item's are at least as many as both have in common.
+        near = candidates.filter(F.col("k") == k).join(x.select("item", F.col("h").alias("item_h")), "item").alias("a").join(suspects.alias("b"), same_row("a", "b"))
+        upto = F.size(F.filter(hashes(F.slice("b.w", F.col("a.start") + 1, F.col("a.m") + (k - 1)), k), lambda h: F.array_contains(F.col("a.item_h"), h)))
+        near = near.withColumn("upto", upto).filter(F.col("upto") >= (F.col("a.m") + F.size("a.item_h") - F.col("upto")) * least)
+        held = near.select("a.id", "a.row", "a.item", "a.n", "a.start", "a.m", F.explode(F.transform(F.sequence(F.col("a.start"), F.col("a.start") + F.col("a.m") - 1), lambda i: shingle(F.col("b.w"), i, k))).alias("s"))
         counted = held.groupBy("id", "row", "item", "n", "start", "m", "s").agg(F.count("*").alias("doc_n"))
         common = counted.join(own, ["item", "s"]).groupBy("id", "row", "item", "n", "start", "m", "item_m").agg(F.sum(F.least("doc_n", "item_n")).alias("both"))
         total = common if total is None else total.unionAll(common)
@@ -152,4 +180,4 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, width: int
 def clean(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs whose id has no match."""
     bad = written(matches(docs, items, least, id_col=id_col, text_col=text_col, **how).select(F.col(id_col).alias("_bad")).distinct(), "leaks")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad.hint("merge"), F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")  # never broadcast: it grows with the documents
