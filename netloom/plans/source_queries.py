@@ -1,4 +1,108 @@
-"""Queries."""
+"""Queries on captures, handshakes and streams. Captures are made in code, as the data folder has none."""
+
+from __future__ import annotations
+
+import io
+import struct
+import uuid
+
+from pyspark.sql import functions as F
+
+from netloom.functions import handshakes as H
+from netloom.operators import reassembly
+from netloom.plans import binding as B
+from netloom.sources import capture as C
+from netloom.streaming import windows as SW
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def _frames() -> list[tuple[float, bytes]]:
+    """A connection with a hello, a gap that is filled, a retransmission and a two-sided end; QUIC; a frame with padding."""
+    a, b = ("10.0.0.1", 50000), ("10.0.0.2", 443)
+    to, fro = (*a, *b), (*b, *a)
+    hi = H.hello("example.org", [0x0A0A, 4865, 4866], [29, 23], [772, 771])
+    rows = [(to, 2, 100, b""), (fro, 18, 500, b""), (to, 16, 101, b""), (to, 24, 101, hi), (to, 24, 101 + len(hi) + 5, b"later"), (to, 24, 101 + len(hi), b"early"), (to, 24, 101, hi), (fro, 24, 501, b"answer"), (to, 17, 111 + len(hi), b""), (fro, 17, 507, b"")]
+    out = [(1.0 + i / 10, C.frame(*w, p, f, s)) for i, (w, f, s, p) in enumerate(rows)]
+    initial = bytes([0xC3]) + struct.pack("!I", 1) + b"\x04abcd" + b"\x02xy" + b"\x03tok" + b"\x40\x10" + b"\0" * 16
+    out += [(3.0, C.frame("10.0.0.1", 50001, "10.0.0.3", 443, initial, protocol=17)), (3.1, C.frame("10.0.0.3", 443, "10.0.0.1", 50001, b"\x45" + b"\0" * 9, protocol=17)), (3.2, C.frame("10.0.0.9", 1, "10.0.0.1", 2, b"", 2, 1, pad=6))]
+    return out
+
+
+def _raw(spark):
+    rows = []
+    head = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
+    body = b"".join(struct.pack("<IIII", int(t), round((t - int(t)) * 1e6), len(d), len(d)) + d for t, d in _frames())
+    for i, (ts, link, data) in enumerate(C.packets(io.BytesIO(head + body))):
+        rows.append(("made.pcap", i, ts, link, data))
+    return spark.createDataFrame(rows, C.RAW_SCHEMA)
+
+
+def q_pcap_decode(spark, sf_dir):
+    return C.decoded(_raw(spark)).select("pkt_idx", F.round("ts", 6).alias("ts"), "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "length", "payload_length", "tcp_flags", "tcp_seq")
+
+
+QUERIES["q_pcap_decode"] = q_pcap_decode
+
+
+def q_tls_parse(spark, sf_dir):
+    rows = [(r["pkt_idx"], h["sni"], h["version"], h["ciphers"], h["extensions"], h["groups"], h["point_formats"]) for r in C.decoded(_raw(spark)).filter("payload_length > 40 AND protocol = 6").collect() if (h := H.parse_client(bytes(r["payload"])))]
+    t = spark.createDataFrame(rows, "pkt_idx long, sni string, version int, ciphers array<int>, extensions array<int>, groups array<int>, formats array<int>")
+    return t.select("pkt_idx", "sni", F.size("ciphers").alias("n_ciphers"), H.ja3(F.col("version"), F.col("ciphers"), F.col("extensions"), F.col("groups"), F.col("formats")).alias("ja3"), H.short_fingerprint(F.col("version"), F.col("sni"), F.col("ciphers"), F.col("extensions")).alias("short_fingerprint"))
+
+
+QUERIES["q_tls_parse"] = q_tls_parse
+
+
+def q_quic_parse(spark, sf_dir):
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            for i, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                q = H.quic(p)
+                if q:
+                    yield pa.RecordBatch.from_pylist([{"pkt_idx": i, "is_long": q["long"], "version": q.get("version"), "dcid": q.get("dcid"), "token_length": q.get("token_length")}], schema=pa.schema([("pkt_idx", pa.int64()), ("is_long", pa.bool_()), ("version", pa.int64()), ("dcid", pa.string()), ("token_length", pa.int32())]))
+
+    return C.decoded(_raw(spark)).filter("protocol = 17").select("pkt_idx", "payload").mapInArrow(run, "pkt_idx long, is_long boolean, version long, dcid string, token_length int")
+
+
+QUERIES["q_quic_parse"] = q_quic_parse
+
+
+def q_tcp_reassembly(spark, sf_dir):
+    d = C.decoded(_raw(spark)).filter("protocol = 6")
+    ends = F.sort_array(F.array(F.concat_ws(":", "src_ip", "src_port"), F.concat_ws(":", "dst_ip", "dst_port")))
+    return reassembly.reassembled(d.withColumn("flow", F.array_join(ends, "-"))).select("flow", "sid", "pkt_idx", "direction", "state", "retransmissions", "out_of_order")
+
+
+QUERIES["q_tcp_reassembly"] = q_tcp_reassembly
+
+
+def q_ja3_like(spark, sf_dir):
+    """Fingerprints of lists that events stand for."""
+    e = B.table(spark, sf_dir, "events").select("event_id", F.array((F.col("event_id") % 7).cast("int"), F.lit(2570), F.lit(4865)).alias("c"), F.array((F.col("user_id") % 5).cast("int")).alias("x"))
+    return e.select("event_id", H.ja3(F.lit(771), F.col("c"), F.col("x"), F.col("x"), F.array(F.lit(0))).alias("ja3"))
+
+
+QUERIES["q_ja3_like"] = q_ja3_like
+ORACLES["q_ja3_like"] = "SELECT event_id, md5('771,' || (event_id % 7) || '-4865,' || (user_id % 5) || ',' || (user_id % 5) || ',0') AS ja3 FROM events"
+
+
+def q_stream_parity(spark, sf_dir):
+    """Daily counts from a stream of the event files; the SQL twin reads the table."""
+    return SW.drained(SW.tumbling_counts(SW.event_stream(spark, sf_dir)), "complete", f"s{uuid.uuid4().hex[:10]}")
+
+
+QUERIES["q_stream_parity"] = q_stream_parity
+ORACLES["q_stream_parity"] = "SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS window_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"
+
+
+def q_idle_sessions(spark, sf_dir):
+    e = B.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return SW.idle_sessions(e)
+
+
+QUERIES["q_idle_sessions"] = q_idle_sessions
+ORACLES["q_idle_sessions"] = "WITH a AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 86400000000 THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, s"
