@@ -47,8 +47,17 @@ QUERIES["q_pcap_decode"] = q_pcap_decode
 
 
 def q_tls_parse(spark, sf_dir):
-    rows = [(r["pkt_idx"], h["sni"], h["version"], h["ciphers"], h["extensions"], h["groups"], h["point_formats"]) for r in C.decoded(_raw(spark)).filter("payload_length > 40 AND protocol = 6").collect() if (h := H.parse_client(bytes(r["payload"])))]
-    t = spark.createDataFrame(rows, "pkt_idx long, sni string, version int, ciphers array<int>, extensions array<int>, groups array<int>, formats array<int>")
+    import pyarrow as pa
+
+    numbers = pa.list_(pa.int32())
+    kinds = pa.schema([("pkt_idx", pa.int64()), ("sni", pa.string()), ("version", pa.int32()), ("ciphers", numbers), ("extensions", numbers), ("groups", numbers), ("formats", numbers)])
+
+    def run(batches):
+        for b in batches:
+            found = [(i, h) for i, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (h := H.parse_client(p))]
+            yield pa.RecordBatch.from_pylist([{"pkt_idx": i, "formats": h["point_formats"]} | {k: h[k] for k in ("sni", "version", "ciphers", "extensions", "groups")} for i, h in found], schema=kinds)
+
+    t = C.decoded(_raw(spark)).filter("payload_length > 40 AND protocol = 6").select("pkt_idx", "payload").mapInArrow(run, "pkt_idx long, sni string, version int, ciphers array<int>, extensions array<int>, groups array<int>, formats array<int>")
     return t.select("pkt_idx", "sni", F.size("ciphers").alias("n_ciphers"), H.ja3(F.col("version"), F.col("ciphers"), F.col("extensions"), F.col("groups"), F.col("formats")).alias("ja3"), H.short_fingerprint(F.col("version"), F.col("sni"), F.col("ciphers"), F.col("extensions")).alias("short_fingerprint"))
 
 
