@@ -121,7 +121,12 @@ def near_duplicates(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", te
 
 def one_of_each(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with the smallest id of each component; of rows with one id, one. Rows without an id stay only if their whole component has none."""
-    ids = written(near_duplicates(docs, radius, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.count("*").alias("_rows")), "kept")
+    return firsts(docs, near_duplicates(docs, radius, id_col, text_col), id_col)
+
+
+def firsts(docs: DataFrame, near: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """one_of_each, of the components (id_col, component_id) in near."""
+    ids = written(near.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.count("*").alias("_rows")), "kept")
     # Never broadcast: the kept ids grow with the documents.
     out = docs.alias("d").join(ids.select(F.col(id_col).alias("_kept")).hint("merge"), F.col(f"d.{id_col}").eqNullSafe(F.col("_kept")), "left_semi")
     return out if ids.filter("_rows > 1").isEmpty() else out.dropDuplicates([id_col])
