@@ -1,6 +1,6 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-A bounded sample of vectors gives pivots, no two of which are alike. Each vector is
+A bounded sample of vectors gives pivots, no two of which are alike (or two, if all are). Each vector is
 described by its nearest pivots, in order of nearness. Close vectors see pivots in nearly the same order, so they
 share several of their first `prefix` pivots. Inverted lists are kept by pairs of pivots: two
 vectors meet in a list exactly if they share two pivots, and the number shared decides whether
@@ -73,19 +73,20 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def choose_pivots(sample: list[np.ndarray], n: int) -> np.ndarray:
-    """At most n unit vectors of the most common length, none alike."""
+    """At most n (2 at least) unit vectors of the most common length, none alike; where all are alike, any two."""
     if not sample:
         return np.empty((0, 0))
     size = min(Counter(len(x) for x in sample).items(), key=lambda k: (-k[1], k[0]))[0]
     all_ = _unit(np.array([x for x in sample if len(x) == size]))
     out = np.empty((0, size))
+    n = max(n, 2)
     for i in range(0, len(all_), 256):
         for x in all_[i : i + 256][(all_[i : i + 256] @ out.T < ALIKE).all(1)] if len(out) else all_[i : i + 256]:
             if not len(out) or (out @ x).max() < ALIKE:
                 out = np.vstack([out, x])
                 if len(out) == n:
                     return out
-    return out
+    return out if len(out) > 1 else all_[:2]  # with two pivots, every vector is in their one list
 
 
 def cell_links(unit: np.ndarray, weight: np.ndarray, near: np.ndarray, side: np.ndarray, pair: tuple[int, int], same: bool, least: float, shared: int) -> tuple[np.ndarray, np.ndarray]:
