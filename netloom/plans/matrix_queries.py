@@ -87,7 +87,7 @@ ORACLES["q_rule_revision_diff"] = f"WITH {B.WIDE}, m AS (SELECT id, coalesce(CAS
 
 
 def q_tree_rules(spark, sf_dir):
-    rules = R.tree_rules(B.wide(spark, sf_dir), [f"f{i}" for i in range(16)], "label", purity=0.3, depth=4)
+    rules = R.tree_rules(B.wide(spark, sf_dir), [f"f{i}" for i in range(64)], "label", purity=0.3, depth=4)
     rows = [(r["rule_id"], r["label"], len(r["conditions"]), r["confidence"], "; ".join(f"{c['feature']} {c['op']} {c['value']:.4g}" for c in r["conditions"])) for r in rules]
     return spark.createDataFrame(rows, "rule_id string, label int, n_conditions int, confidence double, text string")
 
@@ -181,7 +181,7 @@ ORACLES["q_fused_scores"] = f"WITH {MI_SQL}, m AS (SELECT feature, label, avg(x)
 
 
 def q_greedy_topk(spark, sf_dir):
-    m = B.matrix(spark, sf_dir).filter("feature < 24")
+    m = B.matrix(spark, sf_dir)
     scores = L.mutual_information(m).select("feature", F.col("mi").alias("score"))
     taken = L.greedy(scores, L.spearman(m, 0.08), 12)
     return spark.createDataFrame(list(enumerate(taken)), "place int, feature int")
