@@ -118,7 +118,7 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, width: int
     anchors = None
     for k, x in by_width:
         m = F.col("n") - (k - 1)
-        most = m - F.ceil(m * 2 * least / (1 + least) - 1e-9)  # shingles that may be missing
+        most = m - F.ceil(m * least - 1e-9)  # shingles that may be missing, from a document shorter than the item too
         one = x.select("item", "n", F.lit(k).alias("k"), F.explode(F.slice(F.array_sort(F.array_distinct("h")), 1, (most + 1).cast("int"))).alias("h"))
         anchors = one if anchors is None else anchors.unionAll(one)
     anchors = written(anchors, "anchors")
