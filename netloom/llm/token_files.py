@@ -9,21 +9,25 @@ the writer adds column and offset indexes, so that a read of some ids touches fe
 a read of the metadata columns touches no ids at all.
 
 Defined results: null texts count as empty and hold only the end id; rows with equal ids
-all stay, in the order of their texts; null ids come first; extra columns are not read.
+all stay, in the order in which they were read; null ids come first; special strings in texts become
+their ids, as in the library; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.wordcache import MEMO_CHARS, ChunkMemo, Memo, words
+from netloom.llm.shared import dropped, written
+from netloom.llm.wordcache import MEMO_CHARS, Memo
 
 #: Bytes of a row group, bytes and rows of a page at most.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 500
@@ -31,14 +35,43 @@ ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 500
 
 #: Punctuation that may end a word (not the apostrophe, which may begin an ending of its own).
 ENDINGS = ".,;:!?*#&%$)]}>\"-_=+/|"
+#: Letters (of blocks that every version of Unicode agrees on), as a regular expression's class.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: White space other than space and newline, likewise.
+SPACES = "\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Texts in which white space stands otherwise than single between words, or at an end.
+ODD = f"  | \n|\n |\n\n|^[ \n]|[ \n]$|[{SPACES}]"
+#: Bytes of texts that are looked at together.
+BLOCK = 8 << 20
 
-#: White space other than space and newline.
-ASCII_SPACES = "\t\r\v\f\x1c\x1d\x1e\x1f"
-SPACES = ASCII_SPACES + "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it can be seen, else the next from U+0100 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    unseen = [b for b in range(256) if b not in seen]
+    return [chr(b if b in seen else 256 + unseen.index(b)) for b in range(256)]
+
+
+def _taken(flat: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lists that lie one after another in flat: those numbered at, likewise, and their sizes."""
+    n = size[at]
+    upto = np.cumsum(n)
+    start = np.cumsum(size) - size
+    return flat[np.arange(n.sum()) + np.repeat(start[at] - upto + n, n)], n
+
+
+def _gathered(lists: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _taken(np.frombuffer(b"".join(lists), "<i4"), np.fromiter(map(len, lists), "i8", len(lists)) >> 2, at)
 
 
 class ByteBpe:
-    """Ids as the tokenizers library gives them for a byte-level BPE file, special strings taken as text."""
+    """Ids as the tokenizers library gives them for a byte-level BPE file with add_special_tokens=False.
+
+    The library's split of a text never joins a word with the space or newline before the next one. Where all white
+    space is single spaces and newlines between words, a block of texts is therefore cut into words at once, equal
+    words are told apart once, and ids are gathered by word. What is asked of the library are stems and endings of
+    words that aren't remembered. Texts with other white space or with special strings go to the library whole.
+    """
 
     def __init__(self, path: str):
         import json
@@ -49,65 +82,121 @@ class ByteBpe:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
+        pre, added = spec.get("pre_tokenizer") or {}, [t["content"] for t in spec.get("added_tokens") or []]
         #: With this split, a single space between two words always opens a new chunk, and so does a newline.
-        self._by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        self._by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not any(len(t.split()) != 1 for t in added)
         self._tok = Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True
-        self._memo, self._parts = ChunkMemo(self._fill), Memo()
+        self._model, self._letters = self._tok.model, dict(enumerate(_byte_letters()))
+        self._whole = re.compile(f" ?[{LETTERS}]+").fullmatch  # such a part is a chunk of its own in the library's split
+        self._cut = f"(?s)^(?P<stem>.*[{LETTERS}])(?P<tail>[{re.escape(ENDINGS)}]+)$"
+        self._parts = Memo()
         newline = self._tok.encode("\n", add_special_tokens=False).ids
         self._by_word = self._by_word and len(newline) == 1
         self._newline_id, self._newline = newline[0] if newline else -1, np.array(newline, "<i4").tobytes()
-
-    def _fill(self, chunks: list[str]) -> list[bytes]:
-        return self._split([c if c[0] == "\n" else " " + c for c in chunks])
-
-    def _split(self, chunks: list[str]) -> list[bytes]:
-        """The split also ends after a newline that a word follows, and after a letter that punctuation (no apostrophe) follows: such parts are learnt apart."""
+        self._odd = "|".join([ODD, *(re.escape(t) for t in added)])
+        #: Bytes of an unsigned number that holds every id.
+        self.width = 2 if self._tok.get_vocab_size() <= 1 << 16 else 4
+
+    def _asked(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts without white space but at their start, from the library."""
+        own, mixed = [], []
+        for i, x in enumerate(parts):
+            (own if self._whole(x) else mixed).append(i)
+        out: list[bytes] = [b""] * len(parts)
+        if own:
+            tokenize, ids, begin = self._model.tokenize, [], [0]
+            for x in "\n".join([parts[i] for i in own]).encode().decode("latin-1").translate(self._letters).split(self._letters[10]):
+                ids += [t.id for t in tokenize(x)]
+                begin.append(len(ids))
+            raw = np.array(ids, "<i4").tobytes()
+            for i, a, b in zip(own, begin, begin[1:], strict=False):
+                out[i] = raw[4 * a : 4 * b]
+        if mixed:  # in one call, as lines of a text, whose newlines have an id of their own
+            ids = np.array(self._tok.encode_batch_fast(["\n".join([parts[i] for i in mixed])], add_special_tokens=False)[0].ids, "<i4")
+            ends = np.flatnonzero(ids == self._newline_id)
+            raw, begin = ids.tobytes(), 4 * np.concatenate([[0], ends + 1])
+            for i, a, b in zip(mixed, begin.tolist(), [*(4 * ends).tolist(), len(raw)], strict=True):
+                out[i] = raw[a:b]
+        return out
+
+    def _known(self, parts: list[str]) -> list[bytes]:
         self._parts.turn()
         young, old = self._parts.young, self._parts.old
-        lead, stems, tails = [], [], []
-        for c in chunks:
-            line = c[0] == "\n"
-            lead.append(self._newline if line else b"")
-            if line:
-                c = c[1:]
-            stem = c.rstrip(ENDINGS)
-            if stem and stem != c and stem[-1].isalpha() and stem[-1] < "\u0250":
-                stems.append(stem)
-                tails.append(c[len(stem) :])
+        got = list(map(young.get, parts))
+        new = []
+        for i in [i for i, x in enumerate(got) if x is None]:
+            ids = old.get(parts[i])
+            if ids is None:
+                new.append(i)
             else:
-                stems.append(c)
-                tails.append("")
-        got = self._encoded([x for x in {*stems, *tails} if x and x not in young and x not in old])
-        young.update((x, ids) for x, ids in got.items() if len(x) <= MEMO_CHARS)
-
-        def ids(x: str) -> bytes:
-            y = young.get(x)
-            return y if y is not None else got[x] if x in got else old[x]
-
-        return [n + ids(a) + ids(b) if b else n + ids(a) for n, a, b in zip(lead, stems, tails, strict=True)]
-
-    def _encoded(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of parts without white space but at their start: in one call, as lines of a text, whose newlines have an id of their own."""
-        if not parts:
-            return {}
-        ids = np.array(self._tok.encode_batch_fast(["\n".join(parts)], add_special_tokens=False)[0].ids, "<i4")
-        ends = np.flatnonzero(ids == self._newline_id)
-        raw = ids.tobytes()
-        begin = 4 * np.concatenate([[0], ends + 1])
-        return {x: raw[i:j] for x, i, j in zip(parts, begin.tolist(), [*(4 * ends).tolist(), len(raw)], strict=True)}
+                got[i] = young[parts[i]] = ids
+        for i, ids in zip(new, self._asked([parts[i] for i in new]), strict=True):
+            got[i] = ids
+            if len(parts[i]) <= MEMO_CHARS:
+                young[parts[i]] = ids
+        return got
+
+    def _words(self, words: pa.StringArray, follow: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of words: all their ids, how many each has. The first `follow` come after a space, or else begin with a newline, a chunk of its own; the rest begin a text."""
+        line = pc.starts_with(words, "\n")
+        body = pc.utf8_ltrim(words, characters="\n")
+        cut = pc.extract_regex(body, self._cut)  # a word's closing punctuation, after a letter, is a chunk of its own too
+        whole = pc.if_else(pc.is_valid(cut), pc.struct_field(cut, "stem"), body)
+        lead = pc.if_else(pa.array(np.arange(len(words)) < follow), pc.if_else(line, "", " "), "")
+        stem = pc.binary_join_element_wise(lead, whole, "").dictionary_encode()
+        tail = pc.fill_null(pc.struct_field(cut, "tail"), "").dictionary_encode()
+        stems, tails = self._known(stem.dictionary.to_pylist()), self._known(tail.dictionary.to_pylist())
+        at = np.stack([line.to_numpy(zero_copy_only=False).astype("i8"), stem.indices.to_numpy() + 2, tail.indices.to_numpy() + 2 + len(stems)], 1)
+        ids, size = _gathered([b"", self._newline, *stems, *tails], at.ravel())
+        return ids, size.reshape(-1, 3).sum(1)
+
+    def _plain(self, texts: pa.StringArray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts (or parts of one, those that don't begin it) whose words are between single spaces and newlines: ids, how many each has."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        words = lists.flatten().dictionary_encode()
+        first = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        at, follow = words.indices.to_numpy().astype("i8"), len(words.dictionary)
+        heads, where = np.unique(at[first[begins]], return_inverse=True)
+        at[first[begins]] = follow + where
+        flat, size = self._words(pa.concat_arrays([words.dictionary, words.dictionary.take(pa.array(heads))]), follow)
+        ids, n = _taken(flat, size, at)
+        return ids, np.add.reduceat(n, first)
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each has; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype("i8")
+        plain = (size > 0) & self._by_word
+        if plain.any():
+            plain &= ~pc.match_substring_regex(texts, self._odd).to_numpy(zero_copy_only=False)
+        counts = np.zeros(len(texts), "i8")
+        out: list[np.ndarray] = []
+        block = np.cumsum(size) // BLOCK
+        i = 0
+        while i < len(size):
+            j = i + 1
+            if plain[i] and size[i] <= BLOCK:  # a run of plain texts of one block
+                while j < len(size) and plain[j] and block[j] == block[i]:
+                    j += 1
+                ids, counts[i:j] = self._plain(texts.slice(i, j - i), np.ones(j - i, bool))
+                out.append(ids)
+            elif plain[i]:  # a long one, in parts that end before a space
+                text, at = texts[i].as_py(), 0
+                while at < len(text):
+                    end = text.find(" ", at + BLOCK)
+                    end = len(text) if end < 0 else end
+                    ids, n = self._plain(pa.array([text[at:end]]), np.array([at == 0]))
+                    out.append(ids)
+                    counts[i] += n[0]
+                    at = end + 1
+            elif size[i]:
+                out.append(np.array(self._tok.encode_batch_fast([texts[i].as_py()], add_special_tokens=False)[0].ids, "<i4"))
+                counts[i] = len(out[-1])
+            i = j
+        return np.concatenate(out) if out else np.empty(0, "<i4"), counts
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, "<i4")
-        chunks = words(text) if self._by_word and not any(c in text for c in (SPACES if not text.isascii() else ASCII_SPACES)) else None
-        if chunks is None or "\n" in chunks:  # other white space, or several in a row
-            return np.array(self._tok.encode(text, add_special_tokens=False).ids, "<i4")
-        first = chunks[0]
-        if first[0] == "\n":
-            return np.frombuffer(self._memo.joined(chunks), "<i4")
-        return np.frombuffer(self._split([first])[0] + self._memo.joined(chunks[1:]), "<i4")
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
 
 @functools.lru_cache(2)
@@ -117,26 +206,41 @@ def byte_bpe(path: str) -> ByteBpe:
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", delta: bool = False) -> None:
-    """Encode each row's whole text, add end_id, and write the files."""
+    """Encode each row's whole text, add end_id, and write the files.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, start, part = byte_bpe(tokenizer_path), 0, TaskContext.get().partitionId()
+    Texts never move: ids do, as numbers of two bytes where the vocabulary allows, from a table in the shared folder,
+    so that neither the ranges' sampling nor a lost executor encodes anything twice.
+    """
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = byte_bpe(tokenizer_path)
+        for b in batches:
+            ids, n = tok.encode_all(b.column(2))
+            upto = tok.width * np.concatenate([[0], np.cumsum(n)])
+            raw = ids.astype(f"<u{tok.width}").tobytes()
+            packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(upto.astype("<i8").tobytes()), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(len(n), tok.width), pa.int32()), packed.cast(pa.binary())], names=["id", "row", "width", "packed"])
+
+    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, part = 0, TaskContext.get().partitionId()
         end = np.array([end_id], "<i4")
         for b in batches:
-            flat, n = [], []
-            for t in b.column(1):
-                ids = tok.encode(t.as_py())
-                flat += (ids, end)
-                n.append(len(ids) + 1)
+            flat = []
+            for w, x in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                flat += (np.frombuffer(x.as_buffer(), f"<u{w}").astype("<i4"), end)
+            n = np.array([len(x) + 1 for x in flat[::2]], "i8")
             upto = np.cumsum(n)
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]).astype("i4")), pa.array(np.concatenate(flat) if flat else np.empty(0, "i4")))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part), pa.int32()), pa.array(start + upto - n, pa.int64()), pa.array(n, pa.int64()), ids], names=["id", "part", "start", "n_tokens", "ids"])
             start += int(upto[-1]) if len(n) else 0
 
     kind = docs.schema[id_col].dataType.simpleString()
-    dealt = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    src = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    packed = written(src.mapInArrow(encoded, f"id {kind}, row long, width int, packed binary"), "packed", **{"parquet.enable.dictionary": "false"})
+    # By id and row, so that many rows of one id make several ranges.
+    dealt = packed.repartitionByRange("id", "row").sortWithinPartitions("id", "row").select("id", "width", "packed")
     (
-        dealt.mapInArrow(run, f"id {kind}, part int, start long, n_tokens long, ids array<int>")
+        dealt.mapInArrow(filed, f"id {kind}, part int, start long, n_tokens long, ids array<int>")
         .write.option("compression", "zstd")
         .option("parquet.block.size", ROW_GROUP)
         .option("parquet.page.size", PAGE)
@@ -145,20 +249,17 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_c
         .option("parquet.writer.version", "PARQUET_2_0")
         .parquet(path)
     )
+    dropped(packed)
 
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:
-    """id, start (ids of all texts before it), n_tokens, part: no ids are read.
-
-    A part's offset is the sum of the parts before it. Those sums, one number for each
-    written partition, are gathered in the driver.
-    """
-    rows = spark.read.parquet(path).select("id", "part", "start", "n_tokens")
-    return _global(spark, rows)
+    """id, start (ids of all texts before it), n_tokens, part: no ids are read."""
+    return _global(spark, path, spark.read.parquet(path).select("id", "part", "start", "n_tokens"))
 
 
-def _global(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    sums = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
+def _global(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """rows with start counted from the first part on. A part's offset is the sum of the parts before it; those sums, one number for each written partition, are gathered in the driver."""
+    sums = {r["part"]: r["n"] for r in spark.read.parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
     before, at = [], 0
     for part in sorted(sums):
         before.append((part, at))
@@ -169,15 +270,12 @@ def _global(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str, low=None, high=None) -> DataFrame:
     """id, start, n_tokens, part, ids; only of texts with low <= id <= high, where given (row groups and pages outside are skipped)."""
-    sums = _global(spark, spark.read.parquet(path).select("id", "part", "start", "n_tokens")).groupBy("part").agg(F.min("start").alias("before_part"))
-    offsets = {r["part"]: r["before_part"] for r in sums.collect()}
     rows = spark.read.parquet(path)
     if low is not None:
         rows = rows.filter(F.col("id") >= low)
     if high is not None:
         rows = rows.filter(F.col("id") <= high)
-    before = spark.createDataFrame(sorted(offsets.items()), "part int, before_part long")
-    return rows.join(F.broadcast(before), "part").withColumn("start", F.col("start") + F.col("before_part")).drop("before_part")
+    return _global(spark, path, rows)
 
 
 def digests(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
