@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.llm import chat_format, decontaminate, html_text, line_crf, pivot_index, sentencepiece_codec, simhash, token_files, token_rollup, warc
@@ -78,21 +78,28 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Load all documents, delete exact copies (all but the smallest id), revise documents that repeat lines (each line stays once); then try the deletes again."""
+    """Load all documents, delete exact copies (of equal texts all but the row with the smallest id), revise documents that repeat lines (each line stays once); then try the deletes again.
+
+    A text's rows are known by its digest, so that rows without an id, or with one that others have too, count like any other.
+    """
     versions = {"byte_bpe_50k": tokenizer("byte_bpe_50k.json"), "words": "words"}
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.sha2("text", 256).alias("digest"), "text")
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.sha2(text, 256).alias("digest"), text.alias("text"))
     loaded = written(token_rollup.counted(docs, versions), "counts")
     rollup = token_rollup.Rollup(spark, fresh_path(spark, "rollup"))
     rollup.commit("load", token_rollup.inserts(loaded))
-    groups = loaded.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    copies = loaded.join(groups, "digest").filter("doc_id > first")
-    rollup.commit("copies", token_rollup.deletes(copies))
+    # By text, source and language first: a text's copies are then as many rows as there are such pairs.
+    groups = loaded.groupBy("digest", "source", "lang").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.any_value("counts").alias("counts"))
+    here = F.struct(F.col("first").isNull().alias("none"), "first", "source", "lang")
+    ranked = written(groups.withColumn("stays", here == F.min(here).over(Window.partitionBy("digest"))), "groups")
+    copies = token_rollup.deletes(ranked.withColumn("times", F.col("n") - F.col("stays").cast("int")), "times")
+    rollup.commit("copies", copies)
     lines = F.split("text", "\n")
-    once = docs.filter(F.size(F.array_distinct(lines)) < F.size(lines)).withColumn("text", F.array_join(F.array_distinct(lines), "\n"))
-    after = written(token_rollup.counted(once, versions).join(copies.select("doc_id").distinct(), "doc_id", "left_anti"), "revised")
-    before = loaded.join(after.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi")
-    rollup.commit("lines", token_rollup.revisions(before, after))
-    rollup.commit("copies", token_rollup.deletes(copies))
+    once = docs.filter(F.size(F.array_distinct(lines)) < F.size(lines)).select("digest", F.array_join(F.array_distinct(lines), "\n").alias("text"))
+    after = written(token_rollup.counted(once, versions).groupBy("digest").agg(F.any_value("counts").alias("counts")), "revised")
+    revised = ranked.filter("stays").join(after.withColumnRenamed("counts", "now").hint("merge"), "digest")  # never broadcast: it grows with the documents
+    rollup.commit("lines", token_rollup.revisions(revised, revised.withColumn("counts", F.col("now"))))
+    rollup.commit("copies", copies)
     rollup.compact()
     return rollup.totals()
 
