@@ -7,14 +7,16 @@ reaches `least`.
 
 1. Anchors. A window that similar lacks at most a known number d of the item's
    shingles, so that it holds one of any d + 1. Documents' shingles are looked up among d + 1 shingles
-   of each item. This loses nothing, and text without an anchor goes no further.
+   of each item. This loses nothing, and text without an anchor goes no further. The scan tests shingles against a bitmap of
+   the anchors, of a fixed size; what passes is joined with the anchors themselves.
 2. Windows. Every window of the item's size that covers an anchor gets a SimHash of 64 bits;
    its bits are summed in lanes of long integers, 32 sums for 64 counters.
 3. Multi-index Hamming search. Fingerprints are cut into 4 blocks of 16 bits. Within a
-   radius of 19 bits some block differs in at most 4, so an item is listed under all values of each
-   block within 4 bits, for windows of its size, and every fingerprint within the radius is met. At a
+   radius of 23 bits some block differs in at most 5, so an item is listed under all values of each
+   block within 5 bits, for windows of its size, and every fingerprint within the radius is met. At a
    similarity of 0.8 two fingerprints differ in 9.7 bits on average, with a standard
-   deviation of 2.9; the radius lies 3.4 deviations above.
+   deviation of 2.9: the radius lies 4.8 deviations above. Those of few shingles differ more (5 of which 4 are in common: 12, deviation 3.1),
+   so that items of up to 8 shingles have blocks within 6 bits and a radius of 27.
 4. Exact similarity of the candidates, from their words.
 
 Documents with no anchor cost one pass; what follows is in proportion to the passages found.
@@ -22,12 +24,13 @@ A passage in very many documents makes as many rows as there are documents, keye
 
 Defined results: null or empty texts and items match nothing; a document shorter than
 an item is one window; of rows that repeat an id the best window counts; rows without an id
-are reported together with a null id; extra columns are not read; ties go to the first window.
+are reported together with a null id, and clean() drops just those with a match; of items that repeat an id, each text counts; items
+without an id are reported with a null one; extra columns are not read; ties go to the first window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +38,11 @@ from pyspark.sql import functions as F
 from netloom.llm.shared import written
 
 WIDTH, LEAST = 5, 0.8
-BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 4
-#: Differences up to which the blocks find every fingerprint.
-RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
-#: Anchors that are tested within the scan; beyond, they are joined by a shuffle.
-INLINE_ANCHORS = 50_000
+BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 5
+#: Items of so few shingles, and the radius of their blocks.
+SHORT, SHORT_RADIUS = 8, 6
+#: Bits of the bitmap of anchors.
+BITMAP = 1 << 24
 NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
 
 
@@ -82,37 +85,31 @@ def _block(fp: Column, b: int) -> Column:
     return F.shiftrightunsigned(fp, b * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
 
 
-def _among(values: list[int]) -> Callable[[Column], Column]:
-    return lambda h: h.isin(values)
+def _places(h: Column) -> list[Column]:
+    """The two bits of the bitmap that stand for a hash."""
+    return [h.bitwiseAND(F.lit(BITMAP - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(BITMAP - 1))]
 
 
-def _suspects(text: DataFrame, anchors: DataFrame, widths: list[int]) -> DataFrame:
-    """id, row (hash of the text), w (words) of texts that hold an anchor, each once."""
-    known = text.withColumn("row", F.xxhash64("text")).withColumn("w", words(F.col("text")))
-    if anchors.count() <= INLINE_ANCHORS:
-        holds = F.lit(False)
-        for k in widths:
-            holds = holds | F.exists(hashes(F.col("w"), k), _among([r["h"] for r in anchors.filter(F.col("k") == k).select("h").distinct().collect()]))
-        found = known.filter(holds).select("id", "row", "w")
-    else:
-        rows = None
-        for k in widths:
-            one = known.select("id", "row", F.explode(hashes(F.col("w"), k)).alias("h")).join(anchors.filter(F.col("k") == k).select("h").distinct(), "h", "left_semi").select("id", "row")
-            rows = one if rows is None else rows.unionAll(one)
-        rows = rows.distinct().select(F.col("id").alias("_id"), F.col("row").alias("_row"))
-        found = known.join(rows, F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left_semi").select("id", "row", "w")
-    return written(written(found, "found").dropDuplicates(["id", "row"]), "suspects")
+def _passes(h: Column, bitmap: Column) -> Column:
+    return reduce(Column.__and__, [F.getbit(F.get(bitmap, F.shiftrightunsigned(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in _places(h)])
 
 
-def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """id_col, item_col, similarity, start_word, n_words: the best window of each document and item that match."""
+def _bitmap(anchors: DataFrame) -> DataFrame:
+    """One row with one array of a fixed size: the bits of all anchors."""
+    place = anchors.select(F.explode(F.array(*_places(F.col("h")))).alias("p")).distinct()
+    set_ = place.groupBy(F.shiftrightunsigned("p", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+    every = anchors.sparkSession.range(BITMAP >> 6).join(set_, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return written(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bitmap")), "bitmap")
+
+
+def _matched(docs: DataFrame, items: DataFrame, least: float, width: int, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame | None:
+    """id, row (hash of the text), item, n, start, similarity of all windows that match; None if no item has a word."""
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
-    item = items.select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("w")).filter("item is not null and w[0] <> ''").select("item", "w", F.size("w").alias("n"), F.least(F.size("w"), F.lit(width)).alias("k")).dropDuplicates(["item"])
-    item = written(item, "items")
+    item = items.select(F.col(item_col).alias("name"), words(F.col(item_text)).alias("w")).filter("w[0] <> ''").distinct()
+    item = written(item.select(F.monotonically_increasing_id().alias("item"), "name", "w", F.size("w").alias("n"), F.least(F.size("w"), F.lit(width)).alias("k")), "items")
     widths = [r["k"] for r in item.select("k").distinct().orderBy("k").collect()]  # at most `width` numbers
-    empty = docs.sparkSession.createDataFrame([], f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{item_col}` {items.schema[item_col].dataType.simpleString()}, similarity double, start_word int, n_words int")
     if not widths:
-        return empty
+        return None
 
     by_width = [(k, item.filter(F.col("k") == k).select("item", "n", "w", hashes(F.col("w"), k).alias("h"))) for k in widths]
     anchors = None
@@ -122,20 +119,22 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, width: int
         one = x.select("item", "n", F.lit(k).alias("k"), F.explode(F.slice(F.array_sort(F.array_distinct("h")), 1, (most + 1).cast("int"))).alias("h"))
         anchors = one if anchors is None else anchors.unionAll(one)
     anchors = written(anchors, "anchors")
-    suspects = _suspects(text, anchors, widths)
+    bitmap = _bitmap(anchors)
+    known = text.withColumn("row", F.xxhash64("text")).withColumn("w", words(F.col("text"))).withColumn("bitmap", bitmap.scalar())
+    holds = reduce(Column.__or__, [F.exists(hashes(F.col("w"), k), lambda h: _passes(h, F.col("bitmap"))) for k in widths])
+    suspects = written(written(known.filter(holds).select("id", "row", "w"), "found").dropDuplicates(["id", "row"]), "suspects")
 
     def met(k: int) -> DataFrame:
         a = anchors.filter(F.col("k") == k).select("n", "h").distinct()
         found = suspects.select("id", "row", F.size("w").alias("size"), F.posexplode(hashes(F.col("w"), k)).alias("at", "h"))
-        return found.join(a, "h").select("id", "row", "size", F.lit(k).alias("k"), "n", "at")
+        return found.withColumn("bitmap", bitmap.scalar()).filter(_passes(F.col("h"), F.col("bitmap"))).join(a, "h").select("id", "row", "size", F.lit(k).alias("k"), "n", "at", "h")
 
-    hits = met(widths[0])
-    for k in widths[1:]:
-        hits = hits.unionAll(met(k))
+    found = written(reduce(DataFrame.unionAll, [met(k) for k in widths]), "anchored")
+    hit_items = anchors.join(found.select("k", "n", "h").distinct(), ["k", "n", "h"], "left_semi").select("item").distinct()
     # Starts of the windows of n words that cover an anchor; a shorter document is one window.
     last = F.greatest(F.col("size") - F.col("n"), F.lit(0))
     starts = F.sequence(F.least(F.greatest(F.col("at") + F.col("k") - F.col("n"), F.lit(0)), last), F.least(F.col("at"), last))
-    hits = written(hits.select("id", "row", "size", "k", "n", F.explode(starts).alias("start")).distinct(), "windows")
+    hits = written(found.select("id", "row", "size", "k", "n", F.explode(starts).alias("start")).distinct(), "windows")
     same_row = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.row") == F.col(f"{b}.row"))
 
     # Fingerprints of windows and of items.
@@ -150,14 +149,19 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, width: int
         item_prints = own if item_prints is None else item_prints.unionAll(own)
     prints = written(prints, "prints")
 
-    # Multi-index search: an item under all values within BLOCK_RADIUS bits of each block.
-    flips = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << BLOCK_BITS) - 1).cast("long")), lambda x: F.bit_count(x) <= BLOCK_RADIUS)
-    listed = item_prints.join(hits.select("k", "n").distinct(), ["k", "n"], "left_semi").select("item", "k", "n", "item_fp", F.posexplode(F.array(*[_block(F.col("item_fp"), b) for b in range(BLOCKS)])).alias("block", "value"))
-    listed = listed.select("item", "k", "n", "item_fp", "block", F.explode(F.transform(flips, lambda f: f.bitwiseXOR(F.col("value")))).alias("value"))
+    # Multi-index search: an item under all values within its radius of each block.
+    def around(value: str) -> Column:
+        every = F.sequence(F.lit(0).cast("long"), F.lit((1 << BLOCK_BITS) - 1).cast("long"))
+        flips = F.when(F.col("radius") == BLOCK_RADIUS, F.filter(every, lambda x: F.bit_count(x) <= BLOCK_RADIUS)).otherwise(F.filter(every, lambda x: F.bit_count(x) <= SHORT_RADIUS))
+        return F.transform(flips, lambda f: f.bitwiseXOR(F.col(value)))
+
+    radius = F.when(F.col("n") - (F.col("k") - 1) <= SHORT, SHORT_RADIUS).otherwise(BLOCK_RADIUS).alias("radius")
+    listed = item_prints.join(hit_items, "item", "left_semi").select("item", "k", "n", "item_fp", radius, F.posexplode(F.array(*[_block(F.col("item_fp"), b) for b in range(BLOCKS)])).alias("block", "value"))
+    listed = listed.select("item", "k", "n", "item_fp", "radius", "block", F.explode(around("value")).alias("value"))
     keyed = prints.select("id", "row", "k", "n", "start", "m", "fp", F.posexplode(F.array(*[_block(F.col("fp"), b) for b in range(BLOCKS)])).alias("block", "value"))
     apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    first = F.coalesce(*[F.when(F.bit_count(_block(apart, b)) <= BLOCK_RADIUS, F.lit(b)) for b in range(BLOCKS)])
-    candidates = keyed.join(listed.hint("merge"), ["k", "n", "block", "value"]).filter((F.bit_count(apart) <= RADIUS) & (first == F.col("block"))).select("id", "row", "k", "n", "start", "m", "item")
+    first = F.coalesce(*[F.when(F.bit_count(_block(apart, b)) <= F.col("radius"), F.lit(b)) for b in range(BLOCKS)])
+    candidates = keyed.join(listed.hint("merge"), ["k", "n", "block", "value"]).filter((F.bit_count(apart) <= (F.col("radius") + 1) * BLOCKS - 1) & (first == F.col("block"))).select("id", "row", "k", "n", "start", "m", "item")
 
     # Exact weighted similarity of their shingles.
     total = None
@@ -172,12 +176,24 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, width: int
         common = counted.join(own, ["item", "s"]).groupBy("id", "row", "item", "n", "start", "m", "item_m").agg(F.sum(F.least("doc_n", "item_n")).alias("both"))
         total = common if total is None else total.unionAll(common)
     similarity = F.col("both").cast("double") / (F.col("m") + F.col("item_m") - F.col("both")).cast("double")
-    good = total.select("id", "item", "start", "n", similarity.alias("similarity")).filter(F.col("similarity") >= least)
+    good = total.select("id", "row", "item", "start", "n", similarity.alias("similarity")).filter(F.col("similarity") >= least)
+    return good.join(item.select("item", "name"), "item").select("id", "row", F.col("name").alias("item"), "n", "start", "similarity")
+
+
+def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """id_col, item_col, similarity, start_word, n_words: the best window of each document and item that match."""
+    good = _matched(docs, items, least, width, id_col, text_col, item_col, item_text)
+    if good is None:
+        return docs.sparkSession.createDataFrame([], f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{item_col}` {items.schema[item_col].dataType.simpleString()}, similarity double, start_word int, n_words int")
     best = good.groupBy("id", "item", "n").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "best.similarity", (-F.col("best.back")).alias("start_word"), F.col("n").alias("n_words"))
 
 
-def clean(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs whose id has no match."""
-    bad = written(matches(docs, items, least, id_col=id_col, text_col=text_col, **how).select(F.col(id_col).alias("_bad")).distinct(), "leaks")
-    return docs.join(bad.hint("merge"), F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")  # never broadcast: it grows with the documents
+def clean(docs: DataFrame, items: DataFrame, least: float = LEAST, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs that have no match; of rows that repeat an id, those with a match of their own go."""
+    good = _matched(docs, items, least, width, id_col, text_col, item_col, item_text)
+    if good is None:
+        return docs
+    bad = written(good.select("id", "row").distinct(), "leaks").alias("leak")
+    same = F.col(f"doc.{id_col}").eqNullSafe(F.col("leak.id")) & (F.xxhash64(f"doc.{text_col}") == F.col("leak.row"))
+    return docs.alias("doc").join(bad.hint("merge"), same, "left_anti")  # never broadcast: it grows with the documents

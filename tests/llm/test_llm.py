@@ -64,9 +64,56 @@ def test_byte_level_equals_the_library():
 
     path = queries.tokenizer("byte_bpe_50k.json")
     mine, lib = token_files.ByteBpe(path), Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
-    for text in [*random_texts(1500, 2), "it's we'll\nI'd 's", "<|endoftext|> a <|endoftext|>"]:
-        assert mine.encode(text).tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
+    texts = [*random_texts(1500, 2), "it's we'll\nI'd 's", "<|endoftext|> a <|endoftext|>", "a <|endoftext|> b", "x\ny, z!\nÀ l'été:", " lead", "trail ", "\n", None, "end.\nNew “quotes”—dash"]
+    ids, n = mine.encode_all(pa.array(texts, pa.string()))
+    at = 0
+    for text, k in zip(texts, n.tolist(), strict=True):
+        want = lib.encode(text or "", add_special_tokens=False).ids
+        assert ids[at : at + k].tolist() == want == mine.encode(text).tolist(), repr(text)
+        at += k
+    assert mine.encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+
+
+def test_byte_level_blocks_and_long_texts(monkeypatch, sf):
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("byte_bpe_50k.json")
+    lib, texts = Tokenizer.from_file(path), pq.read_table(f"{sf}/documents.parquet")["text"].combine_chunks()
+    want = [e.ids for e in lib.encode_batch(texts.fill_null("").to_pylist(), add_special_tokens=False)]
+    for block in (300, 8 << 20):
+        monkeypatch.setattr(token_files, "BLOCK", block)
+        ids, n = token_files.ByteBpe(path).encode_all(texts)
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_token_files_have_encodings_and_indexes(spark, sf):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for delta in (False, True):
+        out = shared.fresh_path(spark, "t")
+        token_files.write(docs, out, queries.tokenizer("byte_bpe_50k.json"), delta=delta)
+        seen = set()
+        for f in glob.glob(out.removeprefix("file://") + "/part-*"):
+            meta = pq.read_metadata(f)
+            for g in range(meta.num_row_groups):
+                for c in (meta.row_group(g).column(i) for i in range(meta.num_columns)):
+                    assert c.has_column_index and c.has_offset_index
+                    if c.path_in_schema.startswith("ids"):
+                        seen |= set(c.encodings)
+        assert ("DELTA_BINARY_PACKED" in seen) == delta and any("DICTIONARY" in e for e in seen) != delta
+
+
+def test_token_files_of_one_id(spark):
+    """Many rows of one id make several ranges."""
+    rows = spark.createDataFrame([(7, "one two " * (i % 50)) for i in range(3000)], "doc_id long, text string").repartition(4)
+    out = shared.fresh_path(spark, "t")
+    token_files.write(rows, out, queries.tokenizer("byte_bpe_50k.json"))
+    got = token_files.read(spark, out).select("start", "n_tokens", "part").orderBy("start").collect()
+    assert len(got) == 3000 and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False))
 
 
 def test_token_files(spark, odd, none):
@@ -288,7 +335,7 @@ def test_decontamination_equals_brute_force(spark):
             text[5:5] = w[r.randrange(4) :]
         docs.append((i, ", ".join(text).upper() if i % 3 == 0 else " ".join(text)))
     docs += [(100, None), (101, ""), (102, items[0][: len(items[0]) - 6]), (None, items[1]), (103, items[4]), (103, items[4])]
-    d = spark.createDataFrame([(a, b, 1.0) for a, b in docs], "doc_id long, text string, similarity double")
+    d = spark.createDataFrame([(a, b, 1.0) for a, b in docs], "doc_id long, text string, _bad double")
     b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     want = {}
     for a, t in docs:
@@ -318,27 +365,78 @@ def test_chat(spark):
     assert chat_format.digests(chat_format.segments(turns.limit(0))).count() == 0
 
 
-def test_rollup_equals_recount(spark, odd):
+def _totals(roll):
+    return {(r["source"], r["lang"], r["tokenizer_version"]): (r["n_docs"], r["n_tokens"]) for r in roll.totals().collect()}
+
+
+def test_rollup_equals_recount(spark, odd, none):
     roll = token_rollup.Rollup(spark, shared.fresh_path(spark, "roll"))
     assert roll.totals().count() == 0
-    counts = shared.written(token_rollup.counted(odd.select("doc_id", "source", "lang", "text"), {"w": "words", "b": queries.tokenizer("byte_bpe_50k.json")}), "counts")
+    versions = {"w": "words", "b": queries.tokenizer("byte_bpe_50k.json"), "p": queries.tokenizer("piece_bpe_32k.model")}
+    counts = shared.written(token_rollup.counted(odd.select("doc_id", "source", "lang", "text", F.lit(3).alias("counts")), versions), "counts")
+    assert counts.columns == ["doc_id", "source", "lang", "counts"]
     assert roll.commit("1", token_rollup.inserts(counts)) and not roll.commit("1", token_rollup.inserts(counts))
+    assert roll.commit("", token_rollup.inserts(counts.limit(0))) and not roll.commit("", token_rollup.inserts(counts))
     before = counts.filter("doc_id = 4")
     after = before.withColumn("lang", F.lit("de")).withColumn("counts", F.transform_values("counts", lambda k, v: v - 1))
     assert roll.commit("2", token_rollup.revisions(before, after)) and roll.commit("3", token_rollup.deletes(counts.filter("doc_id = 1")))
-    total = lambda: {(r["source"], r["lang"], r["tokenizer_version"]): (r["n_docs"], r["n_tokens"]) for r in roll.totals().collect()}
-    want = total()
+    want = _totals(roll)
     assert want[("b", "de", "w")] == (1, 29_999) and ("b", "en", "w") not in want and want[(None, "en", "w")] == (1, 2) and want[("a", "en", "w")] == (1, 0)
-    assert roll.compact() and total() == want and not roll.commit("2", token_rollup.deletes(counts)) and total() == want
-
+    assert roll.compact() and _totals(roll) == want and not roll.commit("2", token_rollup.deletes(counts)) and _totals(roll) == want
+    assert roll.vacuum() == 4 and _totals(roll) == want and not roll.commit("2", token_rollup.deletes(counts)) and roll.committed("")
+    assert token_rollup.counted(none.select("doc_id", "source", "lang", "text"), versions).count() == 0
+
+
+def test_rollup_survives_dead_and_rival_drivers(spark):
+    rows = spark.createDataFrame([("s", "en", {"w": 5}), ("s", "en", {"w": 5})], "source string, lang string, counts map<string,bigint>")
+    folder = shared.fresh_path(spark, "roll")
+    one, two = token_rollup.Rollup(spark, folder), token_rollup.Rollup(spark, folder)
+    key = ("s", "en", "w")
+
+    class Died(Exception):
+        pass
+
+    def dies(name, marker):
+        p, fs = one._path(f"commits/_{name}")
+        fs.create(p, False).close()
+        raise Died
+
+    one._mark = dies  # between the file's creation and its content
+    with pytest.raises(Died):
+        one.commit("a", token_rollup.inserts(rows))
+    assert _totals(two) == {} and two.commit("a", token_rollup.inserts(rows)) and _totals(two) == {key: (2, 10)}
+    del one._mark
+    assert not one.commit("a", token_rollup.inserts(rows)) and one.commit("b", token_rollup.inserts(rows))
+    # Two compactions of one state, and one of an older state that ends late.
+    state, sums = one._live()[0], one._sums(one._live()[0])
+    late = one._sums(state)
+    assert one._write("sum of 1", sums, ["a", "b"]) and two._write("sum of 2", sums, ["a", "b"]) and _totals(one) == {key: (4, 20)}
+    assert one.commit("c", token_rollup.deletes(rows)) and one.compact() and two._write("sum of 3", late, ["a", "b"]) and _totals(two) == {key: (2, 10)}
+    # Two drivers at one batch, neither of which sees the other before it has written.
+    two.committed = one.committed = lambda batch: False
+    done = [one.commit("d", token_rollup.inserts(rows)), two.commit("d", token_rollup.inserts(rows))]
+    assert any(done) and _totals(one) == {key: (4, 20)}
+    one.vacuum()
+    assert _totals(two) == {key: (4, 20)}
+
+
+def test_rollup_query_equals_recount(spark, sf, tmp_path):
+    """Both versions, the byte-level one by the library; rows without an id, with one id and with one text."""
+    from tokenizers import Tokenizer
 
-def test_rollup_query_equals_recount(spark, sf):
-    got = {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"]) for r in queries.op10_token_rollup(spark, sf).filter("tokenizer_version = 'words'").collect()}
+    lib = Tokenizer.from_file(queries.tokenizer("byte_bpe_50k.json"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    more = [(None, "x y\nx y\nz", "en", "a", 1), (None, "x y\nx y\nz", "en", "b", 1), (None, "alone", "en", "b", 1), (5, "new text", "en", "b", 1), (5, "new text", "en", "b", 1), (None, None, None, None, None), (6, "", "en", "b", 0)]
+    docs.unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long").select(*[F.col(f.name).cast(f.dataType) for f in docs.schema])).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["source"], r["lang"], r["tokenizer_version"]): (r["n_docs"], r["n_tokens"]) for r in queries.op10_token_rollup(spark, str(tmp_path)).collect()}
     first, want = {}, collections.defaultdict(lambda: [0, 0])
-    for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect():
-        if first.setdefault(r["text"], r["doc_id"]) == r["doc_id"]:
-            want[(r["source"], r["lang"])][0] += 1
-            want[(r["source"], r["lang"])][1] += len("\n".join(dict.fromkeys(r["text"].split("\n"))).split())
+    for r in sorted(spark.read.parquet(f"{tmp_path}/documents.parquet").collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["source"] or "", r["lang"] or "")):
+        if (r["text"] or "") not in first:
+            first[r["text"] or ""] = 1
+            text = "\n".join(dict.fromkeys((r["text"] or "").split("\n")))
+            for version, n in (("words", len(text.split())), ("byte_bpe_50k", len(lib.encode(text, add_special_tokens=False).ids))):
+                want[(r["source"], r["lang"], version)][0] += 1
+                want[(r["source"], r["lang"], version)][1] += n
     assert got == {k: tuple(v) for k, v in want.items()}
 
 
