@@ -25,13 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from netloom.llm.wordcache import ChunkMemo, Memo, words
+from netloom.llm.token_files import ENDINGS, LETTERS
+from netloom.llm.wordcache import Memo, cut, encoded, gathered, slices, taken
 
 SPACE = "▁"
+#: Texts whose spaces stand otherwise than single between words.
+ODD = "  | \n|^[ \n]| $"
 #: Pairs in the memo of re-merged neighbours; beyond it the memo starts anew.
-PAIRS = 1_000_000
+PAIRS = 200_000
 
 
 class SentencePieceCodec:
@@ -66,29 +70,31 @@ class SentencePieceCodec:
         self.out[self.unknown] = " ⁇ ".encode()
         self.decimal = [b"%d" % i for i in range(n)]
         self._bytes = frozenset(self.byte_id.values())
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self._pairs: dict[int, bool] = {}
+        # By number of a piece, its id or, for characters that are none, a number beyond: text, length, ids as bytes, the longest proper prefix that is a piece too, down to one character.
+        self._names, self._length = names, [len(p) for p in names]
+        self._raw = [np.array([i], "<i4").tobytes() for i in range(n)]
+        self._shorter: list[int] = [-1] * n
+        self._char: dict[str, int] = {p: i for p, i in self.id.items() if len(p) == 1}
         self._trie = ahocorasick.Automaton()
-        for p in self.id:
+        for p, i in self.id.items():
             if len(p) > 1 and self.merged(p) == [p]:
-                self._trie.add_word(p, len(p))
+                self._trie.add_word(p, i)
         self._trie.make_automaton()
-        #: The longest proper prefix of each piece that is a piece too, down to one character.
-        self._shorter: dict[str, str] = {}
-        for p in self._trie.keys():
+        for p, i in ((p, self.id[p]) for p in self._trie.keys()):
             for k in range(len(p) - 1, 0, -1):
                 if k == 1 or p[:k] in self._trie:
-                    self._shorter[p] = p[:k]
+                    self._shorter[i] = self._of_char(p[0]) if k == 1 else self.id[p[:k]]
                     break
         #: Neighbouring characters that stand side by side in some piece: merges cross no other border.
         self._joint = {a + b for p in self.id for a, b in zip(p, p[1:], strict=False)}
-        self._id_bytes = {p: np.array([i], "<i4").tobytes() for p, i in self.id.items()}
-        self._id_bytes_of_byte = {b: np.array([i], "<i4").tobytes() for b, i in self.byte_id.items()}
-        self._parts = Memo()
-        #: No piece goes on with a space sign after something else, or holds a newline: chunks begin there.
-        self._by_word = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.id)
-        self._memo = ChunkMemo(self._fill)
-        self._newline = self._raw("\n")
-        self._runs = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+        self._parts = Memo(lambda parts: [b"".join(map(self._raw.__getitem__, self.split(p))) for p in parts])
+        #: No piece goes on with a space sign after something else, or holds a newline: words begin there.
+        by_word = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.id)
+        self._odd = ODD if by_word else None
+        self._newline = self._raw[self._of_char("\n")]
+        self._runs = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if by_word else "(?s).+")
+        self._cut = f"(?s)^(?P<stem>.*(?P<last>[{LETTERS}]))(?P<tail>(?P<next>[{re.escape(ENDINGS)}])[{re.escape(ENDINGS)}]*)$"
 
     def merged(self, text: str) -> list[str]:
         """Plain greedy merging: always the best-scored pair, of equals the leftmost."""
@@ -104,85 +110,94 @@ class SentencePieceCodec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _apart(self, pair: tuple[str, str]) -> bool:
+    def _of_char(self, c: str) -> int:
+        """The number of a character; one that is no piece gets a new one and becomes its bytes' pieces."""
+        i = self._char.get(c)
+        if i is None:
+            i = self._char[c] = len(self._names)
+            self._names.append(c)
+            self._length.append(1)
+            self._shorter.append(-1)
+            self._raw.append(b"".join([self._raw[self.byte_id[b]] for b in c.encode("utf-8", "replace")]))
+        return i
+
+    def _apart(self, key: int) -> bool:
         """Whether two pieces stay what they are when their characters are merged anew."""
         if len(self._pairs) > PAIRS:
             self._pairs.clear()
-        out = self._pairs[pair] = self.merged(pair[0] + pair[1]) == [*pair]
+        a, b = self._names[key >> 32], self._names[key & 0xFFFFFFFF]
+        out = self._pairs[key] = self.merged(a + b) == [a, b]
         return out
 
-    def split(self, chunk: str) -> list[str]:
-        """The pieces of a chunk, by backtracking."""
+    def split(self, chunk: str) -> list[int]:
+        """The numbers of a chunk's pieces, by backtracking."""
+        length, pairs, apart, shorter = self._length, self._pairs, self._apart, self._shorter
+        try:
+            longest = [self._char[c] for c in chunk]
+        except KeyError:
+            longest = [self._of_char(c) for c in chunk]
+        for end, i in self._trie.iter(chunk):  # of equal starts the longest comes last
+            longest[end - length[i] + 1] = i
         n = len(chunk)
-        longest = [1] * n
-        for end, length in self._trie.iter(chunk):  # of equal starts the longest comes last
-            longest[end - length + 1] = length
-        pairs, apart, shorter = self._pairs, self._apart, self._shorter
         failed = 0  # bit i: no way leads on from position i
-        out: list[str] = []
-        pos, last = 0, ""
-        piece = chunk[: longest[0]] if n else ""
+        out: list[int] = []
+        pos, last = 0, -1
+        piece = longest[0] if n else -1
         while pos < n:
-            while piece is not None:
-                end = pos + len(piece)
-                if not (failed and failed >> end & 1):
-                    if not last:
+            while piece >= 0:
+                end = pos + length[piece]
+                if not failed or not failed >> end & 1:
+                    if last < 0:
                         break
-                    ok = pairs.get((last, piece))
+                    key = last << 32 | piece
+                    ok = pairs.get(key)
                     if ok is None:
-                        ok = apart((last, piece))
+                        ok = apart(key)
                     if ok:
                         break
-                piece = shorter.get(piece)
-            if piece is not None:
+                piece = shorter[piece]
+            if piece >= 0:
                 out.append(piece)
                 last, pos = piece, end
-                piece = chunk[pos : pos + longest[pos]] if pos < n else None
+                if pos < n:
+                    piece = longest[pos]
             else:
                 failed |= 1 << pos
                 piece = out.pop()
-                pos -= len(piece)
-                last = out[-1] if out else ""
-                piece = shorter.get(piece)
+                pos -= length[piece]
+                last = out[-1] if out else -1
+                piece = shorter[piece]
         return out
 
-    def _raw(self, piece: str) -> bytes:
-        got = self._id_bytes.get(piece)
-        return got if got is not None else b"".join([self._id_bytes_of_byte[b] for b in piece.encode("utf-8", "replace")])
-
-    def _part(self, part: str) -> bytes:
-        """Ids of what lies between two neighbouring characters that no piece holds side by side."""
-        got = self._parts.get(part)
-        if got is None:
-            got = b"".join(map(self._raw, self.split(part)))
-            self._parts.put(part, got)
-        return got
-
-    def _chunk(self, chunk: str) -> bytes:
-        joint, start, out = self._joint, 0, []
-        for i in range(1, len(chunk)):
-            if chunk[i - 1 : i + 1] not in joint:
-                out.append(self._part(chunk[start:i]))
-                start = i
-        if not start:
-            return b"".join(map(self._raw, self.split(chunk)))
-        out.append(self._part(chunk[start:]))
-        return b"".join(out)
-
-    def _fill(self, words: list[str]) -> list[bytes]:
-        return [(self._newline + self._chunk(w[1:]) if w[0] == "\n" else self._chunk(SPACE + w)) for w in words]
+    def _plain(self, texts: pa.StringArray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts (or parts of one) whose words are between single spaces: ids, how many each has."""
+        words, at, first = cut(texts)
+        line = pc.starts_with(words, "\n")
+        body = pc.utf8_replace_slice(words, 0, 1, "")
+        body = pc.if_else(line, body, words)
+        ends = pc.extract_regex(body, self._cut)  # a word's closing punctuation, if no piece holds it side by side with the letter before
+        border = pc.binary_join_element_wise(pc.struct_field(ends, "last"), pc.struct_field(ends, "next"), "").dictionary_encode()
+        apart = np.array([b not in self._joint for b in border.dictionary.to_pylist()] + [False])[pc.fill_null(border.indices, len(border.dictionary)).to_numpy()]
+        apart = pa.array(apart)
+        whole = pc.if_else(apart, pc.struct_field(ends, "stem"), body)
+        stem = pc.binary_join_element_wise(pc.if_else(line, "", SPACE), whole, "").dictionary_encode()
+        tail = pc.fill_null(pc.if_else(apart, pc.struct_field(ends, "tail"), ""), "").dictionary_encode()
+        stems, tails = self._parts.of(stem.dictionary.to_pylist()), self._parts.of(tail.dictionary.to_pylist())
+        part = np.stack([line.to_numpy(zero_copy_only=False).astype("i4"), stem.indices.to_numpy() + 2, tail.indices.to_numpy() + 2 + len(stems)], 1)
+        flat, size = gathered([b"", self._newline, *stems, *tails], part.ravel())
+        ids, n = taken(flat, size.reshape(-1, 3).sum(1), at)
+        return ids, np.add.reduceat(n, first)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(self._parts.of(self._runs.findall(SPACE + text.replace(" ", SPACE)))), "<i4")
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each has; null is empty."""
+        return encoded(pc.replace_substring(texts.cast(pa.string()), SPACE, " "), self._odd, self._plain, self._whole)
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text."""
-        if not text:
-            return np.empty(0, "<i4")
-        text = text.replace(SPACE, " ")
-        if self._by_word and (chunks := words(text)):
-            raw = self._memo.joined(chunks)
-        else:
-            text = SPACE + text.replace(" ", SPACE)
-            raw = b"".join(map(self._part, self._runs.findall(text))) if self._by_word else self._part(text)
-        return np.frombuffer(raw, "<i4")
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of ids, as the library's decode(ids) gives it."""
@@ -210,10 +225,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
-        for b in batches:
-            got = [c.encode(t) for t in b.column(1).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype("i4")
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, "i4"), *got]).astype("i4")))
+        for b in (part for whole in batches for part in slices(whole, 1)):
+            flat, n = c.encode_all(b.column(1))
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype("i4")), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column(0), ids], names=[id_col, "ids"])
 
     src = docs.select(id_col, text_col)
@@ -238,11 +252,10 @@ def round_trip_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
-        for b in batches:
-            n, a, d = [], [], []
-            for t in b.column(1):
-                ids = c.encode(t.as_py())
-                n.append(len(ids))
+        for b in (part for whole in batches for part in slices(whole, 1)):
+            flat, n = c.encode_all(b.column(1))
+            a, d = [], []
+            for ids in np.split(flat, np.cumsum(n)[:-1]):
                 a.append(hashlib.sha256(c.joined_decimals(ids)).hexdigest())
                 d.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(d)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm.shared import dropped, written
-from netloom.llm.wordcache import MEMO_CHARS, Memo
+from netloom.llm.wordcache import Memo, cut, encoded, gathered, slices, taken
 
 #: Bytes of a row group, bytes and rows of a page at most.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 500
@@ -41,8 +41,6 @@ LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 SPACES = "\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Texts in which white space stands otherwise than single between words, or at an end.
 ODD = f"  | \n|\n |\n\n|^[ \n]|[ \n]$|[{SPACES}]"
-#: Bytes of texts that are looked at together.
-BLOCK = 8 << 20
 
 
 def _byte_letters() -> list[str]:
@@ -52,18 +50,6 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in seen else 256 + unseen.index(b)) for b in range(256)]
 
 
-def _taken(flat: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of lists that lie one after another in flat: those numbered at, likewise, and their sizes."""
-    n = size[at]
-    upto = np.cumsum(n)
-    start = np.cumsum(size) - size
-    return flat[np.arange(n.sum()) + np.repeat(start[at] - upto + n, n)], n
-
-
-def _gathered(lists: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _taken(np.frombuffer(b"".join(lists), "<i4"), np.fromiter(map(len, lists), "i8", len(lists)) >> 2, at)
-
-
 class ByteBpe:
     """Ids as the tokenizers library gives them for a byte-level BPE file with add_special_tokens=False.
 
@@ -84,16 +70,16 @@ class ByteBpe:
             spec = json.load(f)
         pre, added = spec.get("pre_tokenizer") or {}, [t["content"] for t in spec.get("added_tokens") or []]
         #: With this split, a single space between two words always opens a new chunk, and so does a newline.
-        self._by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not any(len(t.split()) != 1 for t in added)
+        by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not any(len(t.split()) != 1 for t in added)
         self._tok = Tokenizer.from_file(path)
         self._model, self._letters = self._tok.model, dict(enumerate(_byte_letters()))
         self._whole = re.compile(f" ?[{LETTERS}]+").fullmatch  # such a part is a chunk of its own in the library's split
         self._cut = f"(?s)^(?P<stem>.*[{LETTERS}])(?P<tail>[{re.escape(ENDINGS)}]+)$"
-        self._parts = Memo()
+        self._parts = Memo(self._asked)
         newline = self._tok.encode("\n", add_special_tokens=False).ids
-        self._by_word = self._by_word and len(newline) == 1
+        by_word = by_word and len(newline) == 1
         self._newline_id, self._newline = newline[0] if newline else -1, np.array(newline, "<i4").tobytes()
-        self._odd = "|".join([ODD, *(re.escape(t) for t in added)])
+        self._odd = "|".join([ODD, *(re.escape(t) for t in added)]) if by_word else None
         #: Bytes of an unsigned number that holds every id.
         self.width = 2 if self._tok.get_vocab_size() <= 1 << 16 else 4
 
@@ -119,81 +105,34 @@ class ByteBpe:
                 out[i] = raw[a:b]
         return out
 
-    def _known(self, parts: list[str]) -> list[bytes]:
-        self._parts.turn()
-        young, old = self._parts.young, self._parts.old
-        got = list(map(young.get, parts))
-        new = []
-        for i in [i for i, x in enumerate(got) if x is None]:
-            ids = old.get(parts[i])
-            if ids is None:
-                new.append(i)
-            else:
-                got[i] = young[parts[i]] = ids
-        for i, ids in zip(new, self._asked([parts[i] for i in new]), strict=True):
-            got[i] = ids
-            if len(parts[i]) <= MEMO_CHARS:
-                young[parts[i]] = ids
-        return got
-
     def _words(self, words: pa.StringArray, follow: int) -> tuple[np.ndarray, np.ndarray]:
         """Of words: all their ids, how many each has. The first `follow` come after a space, or else begin with a newline, a chunk of its own; the rest begin a text."""
         line = pc.starts_with(words, "\n")
         body = pc.utf8_ltrim(words, characters="\n")
-        cut = pc.extract_regex(body, self._cut)  # a word's closing punctuation, after a letter, is a chunk of its own too
-        whole = pc.if_else(pc.is_valid(cut), pc.struct_field(cut, "stem"), body)
+        ends = pc.extract_regex(body, self._cut)  # a word's closing punctuation, after a letter, is a chunk of its own too
+        whole = pc.if_else(pc.is_valid(ends), pc.struct_field(ends, "stem"), body)
         lead = pc.if_else(pa.array(np.arange(len(words)) < follow), pc.if_else(line, "", " "), "")
         stem = pc.binary_join_element_wise(lead, whole, "").dictionary_encode()
-        tail = pc.fill_null(pc.struct_field(cut, "tail"), "").dictionary_encode()
-        stems, tails = self._known(stem.dictionary.to_pylist()), self._known(tail.dictionary.to_pylist())
-        at = np.stack([line.to_numpy(zero_copy_only=False).astype("i8"), stem.indices.to_numpy() + 2, tail.indices.to_numpy() + 2 + len(stems)], 1)
-        ids, size = _gathered([b"", self._newline, *stems, *tails], at.ravel())
+        tail = pc.fill_null(pc.struct_field(ends, "tail"), "").dictionary_encode()
+        stems, tails = self._parts.of(stem.dictionary.to_pylist()), self._parts.of(tail.dictionary.to_pylist())
+        at = np.stack([line.to_numpy(zero_copy_only=False).astype("i4"), stem.indices.to_numpy() + 2, tail.indices.to_numpy() + 2 + len(stems)], 1)
+        ids, size = gathered([b"", self._newline, *stems, *tails], at.ravel())
         return ids, size.reshape(-1, 3).sum(1)
 
     def _plain(self, texts: pa.StringArray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of texts (or parts of one, those that don't begin it) whose words are between single spaces and newlines: ids, how many each has."""
-        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
-        words = lists.flatten().dictionary_encode()
-        first = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
-        at, follow = words.indices.to_numpy().astype("i8"), len(words.dictionary)
+        words, at, first = cut(texts)
+        follow = len(words)
         heads, where = np.unique(at[first[begins]], return_inverse=True)
         at[first[begins]] = follow + where
-        flat, size = self._words(pa.concat_arrays([words.dictionary, words.dictionary.take(pa.array(heads))]), follow)
-        ids, n = _taken(flat, size, at)
+        flat, size = self._words(pa.concat_arrays([words, words.take(pa.array(heads))]), follow)
+        ids, n = taken(flat, size, at)
         return ids, np.add.reduceat(n, first)
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each has; null is empty."""
-        texts = pc.fill_null(texts.cast(pa.string()), "")
-        size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype("i8")
-        plain = (size > 0) & self._by_word
-        if plain.any():
-            plain &= ~pc.match_substring_regex(texts, self._odd).to_numpy(zero_copy_only=False)
-        counts = np.zeros(len(texts), "i8")
-        out: list[np.ndarray] = []
-        block = np.cumsum(size) // BLOCK
-        i = 0
-        while i < len(size):
-            j = i + 1
-            if plain[i] and size[i] <= BLOCK:  # a run of plain texts of one block
-                while j < len(size) and plain[j] and block[j] == block[i]:
-                    j += 1
-                ids, counts[i:j] = self._plain(texts.slice(i, j - i), np.ones(j - i, bool))
-                out.append(ids)
-            elif plain[i]:  # a long one, in parts that end before a space
-                text, at = texts[i].as_py(), 0
-                while at < len(text):
-                    end = text.find(" ", at + BLOCK)
-                    end = len(text) if end < 0 else end
-                    ids, n = self._plain(pa.array([text[at:end]]), np.array([at == 0]))
-                    out.append(ids)
-                    counts[i] += n[0]
-                    at = end + 1
-            elif size[i]:
-                out.append(np.array(self._tok.encode_batch_fast([texts[i].as_py()], add_special_tokens=False)[0].ids, "<i4"))
-                counts[i] = len(out[-1])
-            i = j
-        return np.concatenate(out) if out else np.empty(0, "<i4"), counts
+        whole = lambda text: np.array(self._tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<i4")
+        return encoded(texts, self._odd, self._plain, whole)
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all(pa.array([text], pa.string()))[0]
@@ -212,9 +151,9 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_c
     so that neither the ranges' sampling nor a lost executor encodes anything twice.
     """
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = byte_bpe(tokenizer_path)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 2)):
             ids, n = tok.encode_all(b.column(2))
             upto = tok.width * np.concatenate([[0], np.cumsum(n)])
             raw = ids.astype(f"<u{tok.width}").tobytes()
@@ -236,7 +175,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_c
 
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    packed = written(src.mapInArrow(encoded, f"id {kind}, row long, width int, packed binary"), "packed", **{"parquet.enable.dictionary": "false"})
+    packed = written(src.mapInArrow(packed_ids, f"id {kind}, row long, width int, packed binary"), "packed", **{"parquet.enable.dictionary": "false"})
     # By id and row, so that many rows of one id make several ranges.
     dealt = packed.repartitionByRange("id", "row").sortWithinPartitions("id", "row").select("id", "width", "packed")
     (

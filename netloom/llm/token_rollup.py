@@ -30,10 +30,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netloom.llm.wordcache import slices
+
 KEYS = ["source", "lang", "tokenizer_version"]
 SUMS = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
@@ -46,16 +47,12 @@ def counter(path: str) -> Callable[[pa.Array], np.ndarray]:
     if path.endswith(".model"):
         from netloom.llm.sentencepiece_codec import codec
 
-        return lambda texts: np.array([len(codec(path).encode(t)) for t in texts.to_pylist()], "i8")
+        return lambda texts: codec(path).encode_all(texts)[1]
     from netloom.llm.token_files import byte_bpe
 
     return lambda texts: byte_bpe(path).encode_all(texts)[1]
 
 
-#: Bytes of texts that are counted together.
-BLOCK = 8 << 20
-
-
 def counted(docs: DataFrame, tokenizers: dict[str, str], text_col: str = "text") -> DataFrame:
     """docs without its text, plus counts: map of tokenizer version to tokens. tokenizers: version to path."""
     rest = [c for c in docs.columns if c not in (text_col, "counts")]
@@ -64,14 +61,10 @@ def counted(docs: DataFrame, tokenizers: dict[str, str], text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = [counter(tokenizers[v]) for v in versions]
-        for whole in batches:
-            upto = np.cumsum(pc.fill_null(pc.binary_length(whole.column(len(rest))), 0).to_numpy(zero_copy_only=False).astype("i8")) // BLOCK
-            cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), whole.num_rows]
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                b = whole.slice(i, j - i)
-                made = np.stack([c(b.column(len(rest))) for c in count], 1)
-                offsets = pa.array(np.arange(j - i + 1, dtype="i4") * len(versions))
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.MapArray.from_arrays(offsets, pa.array(versions * (j - i), pa.string()), pa.array(made.ravel(), pa.int64()))], names=[*rest, "counts"])
+        for b in (part for whole in batches for part in slices(whole, len(rest))):
+            made = np.stack([c(b.column(len(rest))) for c in count], 1)
+            offsets = pa.array(np.arange(b.num_rows + 1, dtype="i4") * len(versions))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.MapArray.from_arrays(offsets, pa.array(versions * b.num_rows, pa.string()), pa.array(made.ravel(), pa.int64()))], names=[*rest, "counts"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
     return src.mapInArrow(run, f"{fields}{', ' if fields else ''}counts map<string,bigint>")
