@@ -1,32 +1,31 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 A bounded sample of vectors gives pivots, no two of which are alike (or two, if all are). Each vector is
-described by its nearest pivots, in order of nearness. Close vectors see pivots in nearly the same order, so they
-share several of their first `prefix` pivots. Inverted lists are kept by pairs of pivots: two
-vectors meet in a list exactly if they share two pivots, and the number shared decides whether
-they are candidates (`shared`, at least 2). Candidates are verified by their cosine in double precision.
-A pair counts only in the list of the two smallest pivots it shares, so it counts once.
+described by its nearest pivots, in order of nearness. Close vectors see pivots in nearly the same order. An inverted list
+for each pivot holds the vectors that have it among their first `heads`; two vectors of a list are candidates if
+their first `prefix` pivots have `shared` in common, and only candidates' cosines are looked at, in double precision.
+A pair counts only in the list of the smallest pivot among both's heads, so it counts once.
 
 More pivots come with more vectors, up to MAX_PIVOTS, which keeps lists short. Equal vectors are one
-class and take part once, with their number as weight. Lists of more than `block` classes are cut into blocks, and
-each pair of blocks is a task's work of bounded memory. What leaves a list is a count
+class and take part once, with their number as weight. How long lists are is known before anything is dealt out (one number a pivot), so
+that a vector moves `heads` times, as it came. Lists of more than `block` classes are cut into blocks, and
+each pair of blocks is a task's work of bounded memory: a vector of a list that long moves once for each block. What leaves a list is a count
 of links for each class and one link to the smallest member of its part of the list, never the pairs themselves.
 
-Recall depends on the sample and the two parameters; tests measure it against brute force.
-The pivots come from at most SAMPLE vectors (those with the smallest hash of their id); every vector is indexed.
+Recall depends on the sample and the parameters; tests measure it against brute force.
+The pivots come from at most SAMPLE vectors (those with the smallest hash, as many as SAMPLE_BYTES hold); every vector is indexed, whatever its length: each
+length has pivots of its own, and one whose sample is empty has a single list.
 
-Defined results: vectors that are null, zero, hold null or non-finite components, or are not as long as most
-vectors of the sample, link with nothing and are their own component; repeated rows are vectors of their own;
-extra columns are not read.
+Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing and are their own component, and so
+do vectors of different lengths with each other; repeated rows are vectors of their own; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,35 +33,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.components import connected
-from netloom.llm.shared import written
+from netloom.llm.shared import dropped, written
 
-SAMPLE, MAX_PIVOTS, MIN_PIVOTS = 16_384, 4096, 64
+SAMPLE, SAMPLE_BYTES, MAX_PIVOTS, MIN_PIVOTS = 16_384, 64 << 20, 8192, 64
 #: Pivots are less alike than this.
 ALIKE = 0.8
-PREFIX, SHARED, BLOCK = 6, 2, 1500
-
-
-def _matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows that hold a usable vector, where each begins, how long it is; components are read by _rows."""
-    ok, begin, size = [], [], []
-    at = vectors.offsets.to_numpy()
-    valid = vectors.is_valid().to_numpy(zero_copy_only=False)
-    for i in range(len(vectors)):
-        if valid[i] and at[i + 1] > at[i]:
-            ok.append(i)
-            begin.append(at[i])
-            size.append(at[i + 1] - at[i])
-    return np.array(ok, "i8"), np.array(begin, "i8"), np.array(size, "i8")
+HEADS, PREFIX, SHARED, BLOCK = 3, 6, 2, 4096
 
 
 def usable(vectors: pa.Array) -> list[np.ndarray | None]:
     """Components as float64 of each vector that can link, else None."""
     out: list[np.ndarray | None] = [None] * len(vectors)
-    ok, begin, size = _matrix(vectors)
+    at, valid = vectors.offsets.to_numpy(), vectors.is_valid().to_numpy(zero_copy_only=False)
     values = vectors.values.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
-    for i, b, n in zip(ok.tolist(), begin.tolist(), size.tolist(), strict=True):
-        x = values[b : b + n]
-        if np.isfinite(x).all() and x.any():
+    for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        x = values[a:b]
+        if valid[i] and b > a and np.isfinite(x).all() and x.any():
             out[i] = x
     return out
 
@@ -73,12 +59,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def choose_pivots(sample: list[np.ndarray], n: int) -> np.ndarray:
-    """At most n (2 at least) unit vectors of the most common length, none alike; where all are alike, any two."""
-    if not sample:
-        return np.empty((0, 0))
-    size = min(Counter(len(x) for x in sample).items(), key=lambda k: (-k[1], k[0]))[0]
-    all_ = _unit(np.array([x for x in sample if len(x) == size]))
-    out = np.empty((0, size))
+    """At most n (2 at least) unit vectors, none alike; where all are alike, any two. All of sample have one length."""
+    all_ = _unit(np.array(sample))
+    out = np.empty((0, all_.shape[1]))
     n = max(n, 2)
     for i in range(0, len(all_), 256):
         for x in all_[i : i + 256][(all_[i : i + 256] @ out.T < ALIKE).all(1)] if len(out) else all_[i : i + 256]:
@@ -86,31 +69,72 @@ def choose_pivots(sample: list[np.ndarray], n: int) -> np.ndarray:
                 out = np.vstack([out, x])
                 if len(out) == n:
                     return out
-    return out if len(out) > 1 else all_[:2]  # with two pivots, every vector is in their one list
-
-
-def cell_links(unit: np.ndarray, weight: np.ndarray, near: np.ndarray, side: np.ndarray, pair: tuple[int, int], same: bool, least: float, shared: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the classes in a cell: summed weights of their links, and the first member (in the given order) of each one's part of the links."""
+    return out if len(out) > 1 else all_[:2]  # with two pivots, every vector is in their lists
+
+
+class Pivots:
+    """Pivots by length of vector; they are numbered through, and lengths without any have a number below zero."""
+
+    def __init__(self, sample: list[np.ndarray], n: int):
+        by = defaultdict(list)
+        for x in sample:
+            by[len(x)].append(x)
+        self.points, self.first, at = {}, {}, 0
+        for size in sorted(by):
+            self.points[size], self.first[size] = choose_pivots(by[size], max(2, n * len(by[size]) // len(sample))), at
+            at += len(self.points[size])
+
+    def nearest(self, vectors: list[np.ndarray], prefix: int) -> np.ndarray:
+        """The first `prefix` pivots of each, nearest first; -1 where there are no more."""
+        out = np.full((len(vectors), prefix), -1, "i4")
+        size = np.array([len(x) for x in vectors])
+        for n in np.unique(size):
+            rows = np.flatnonzero(size == n)
+            if n in self.points:
+                for part in np.array_split(rows, max(1, len(rows) * len(self.points[n]) >> 22)):
+                    near = _unit(np.array([vectors[i] for i in part])) @ self.points[n].T
+                    k = min(prefix, near.shape[1])
+                    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+                    order = np.lexsort((best, -np.take_along_axis(near, best, 1)), axis=1)
+                    out[part, :k] = np.take_along_axis(best, order, 1) + self.first[n]
+            else:
+                out[rows, 0] = -1 - n
+        return out
+
+
+def cell_links(unit: np.ndarray, weight: np.ndarray, near: np.ndarray, side: np.ndarray, pivot: int, same: bool, least: float, heads: int, shared: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the classes in a cell of a pivot's list: summed weights of their links, and the first member (in the given order) of each one's part of the links."""
     n = len(unit)
     left = np.flatnonzero(side == 0)
     right = left if same else np.flatnonzero(side == 1)
     counts, label = np.zeros(n, "i8"), np.arange(n)
+    known, where = np.unique(near, return_inverse=True)
+    where = where.reshape(near.shape)
+    has, leads = np.zeros((n, len(known)), "f4"), np.zeros((n, len(known)), "f4")
+    for k in range(near.shape[1]):
+        has[np.arange(n), where[:, k]] = near[:, k] != -1
+        if k < heads:
+            leads[np.arange(n), where[:, k]] = (near[:, k] != -1) & (near[:, k] < pivot)
+    need = np.minimum(shared, (near != -1).sum(1))
     found = []
     for i in range(0, len(left), 512):
-        a, b = np.nonzero(unit[left[i : i + 512]] @ unit[right].T >= least)
-        a, b = left[a + i], right[b]
+        rows = left[i : i + 512]
+        # Shared pivots first, then pairs that no list before this one has, then cosines of what is left.
+        may = has[rows] @ has[right].T >= np.minimum(need[rows][:, None], need[right][None])
+        may &= leads[rows] @ leads[right].T == 0
         if same:
-            keep = a < b
-            a, b = a[keep], b[keep]
-        for j in range(0, len(a), 50_000):
-            x, y = a[j : j + 50_000], b[j : j + 50_000]
-            common = (near[x][:, :, None] == near[y][:, None, :]).any(2)
-            mine = ((near[x] <= pair[1]) & common).sum(1) == 2  # no smaller pair is shared
-            mine &= common.sum(1) >= shared
-            x, y = x[mine], y[mine]
-            np.add.at(counts, x, weight[y])
-            np.add.at(counts, y, weight[x])
-            found.append((x, y))
+            may &= rows[:, None] < right[None]
+        if not may.any():
+            continue
+        if may.mean() < 0.02:
+            a, b = np.nonzero(may)
+            ok = np.concatenate([(unit[rows[a[j : j + 20_000]]] * unit[right[b[j : j + 20_000]]]).sum(1) >= least for j in range(0, len(a), 20_000)])
+            a, b = a[ok], b[ok]
+        else:
+            a, b = np.nonzero(may & (unit[rows] @ unit[right].T >= least))
+        x, y = rows[a], right[b]
+        counts += np.bincount(x, weight[y], n).astype("i8") + np.bincount(y, weight[x], n).astype("i8")
+        found.append((x.astype("i4"), y.astype("i4")))
     moved = bool(found)
     while moved:
         before = label.copy()
@@ -123,96 +147,83 @@ def cell_links(unit: np.ndarray, weight: np.ndarray, near: np.ndarray, side: np.
     return counts, label
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", prefix: int = PREFIX, shared: int = SHARED, block: int = BLOCK, pivots: int | None = None) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", heads: int = HEADS, prefix: int = PREFIX, shared: int = SHARED, block: int = BLOCK, pivots: int | None = None) -> DataFrame:
     """id_col, n_links, component_id, kept of each row."""
-    spark = vectors.sparkSession
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    kind = "<f4" if src.schema["v"].dataType.elementType.simpleString() == "float" else "<f8"  # vectors move as they came
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = usable(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else hashlib.blake2b((x + 0.0).tobytes(), digest_size=16).digest() for x in got], pa.binary()), pa.array(got, pa.list_(pa.float64()))], names=["id", "class", "v"])
-
-    rows = src.mapInArrow(digested, "id long, class binary, v array<double>")
-    members = written(rows.select("id", "class"), "members")
-    # Equal vectors once; a class is known by its smallest id.
-    classes = written(rows.filter("class is not null").groupBy("class").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.any_value("v").alias("v")), "classes")
-    total = classes.count()
-    sample = [np.array(r["v"]) for r in classes.orderBy(F.xxhash64("class"), "class").limit(min(SAMPLE, max(1, total))).select("v").collect()]
-    points = choose_pivots(sample, pivots or min(MAX_PIVOTS, max(MIN_PIVOTS, math.isqrt(3 * total // 10))))
+            raw = [None if x is None else (x + 0.0).astype(kind).tobytes() for x in got]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else hashlib.blake2b(x, digest_size=16).digest() for x in raw], pa.binary()), pa.array(raw, pa.binary())], names=["id", "digest", "v"])
+
+    rows = src.mapInArrow(digested, "id long, digest binary, v binary")
+    members = written(rows.select("id", "digest"), "members")
+    # Equal vectors once; a class has a number, fixed when it is written.
+    grouped = rows.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.any_value("v").alias("v"))
+    classes = written(grouped.withColumn("class", F.monotonically_increasing_id()), "classes")
+    total, longest = classes.agg(F.count("*"), F.max(F.octet_length("v"))).first()
+    limit = max(2, min(SAMPLE, SAMPLE_BYTES // max(longest or 1, 1)))
+    sample = [np.frombuffer(r["v"], kind).astype("f8") for r in classes.orderBy(F.xxhash64("digest"), "digest").limit(limit).select("v").collect()]
+    points = Pivots(sample, pivots or min(MAX_PIVOTS, max(MIN_PIVOTS, math.isqrt(3 * total))))
     del sample
-    k = min(prefix, len(points))
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = points.nearest([np.frombuffer(x.as_buffer(), kind).astype("f8") for x in b.column(2)], prefix)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype="i4") * prefix), pa.array(near.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=["class", "n", "v", "near"])
+
+    index = written(classes.select("class", "n", "v").mapInArrow(described, "class long, n long, v binary, near array<int>"), "index")
+    entries = index.withColumn("p", F.explode(F.filter(F.slice("near", 1, heads), lambda x: x != -1)))
+    # One number for each pivot.
+    long = {r["p"]: -(-r["size"] // block) for r in entries.groupBy("p").agg(F.count("*").alias("size")).filter(F.col("size") > block).collect()}
+    blocks = F.coalesce(*[F.when(F.col("p") == p, F.lit(k)) for p, k in sorted(long.items())], F.lit(1)) if len(long) <= 64 else F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in sorted(long) for x in (p, long[p])]), "p"), F.lit(1))
+    placed = entries.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("b")).alias("i"), F.greatest(j, F.col("b")).alias("j"), F.when(j < F.col("b"), 1).otherwise(0).alias("side")))
+    dealt = placed.select("class", "n", "p", "near", "v", F.explode(cells).alias("cell")).select("p", "cell.i", "cell.j", "cell.side", "class", "n", "near", "v")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            if len(t) < 2:
+                return
+            names = t["class"].to_numpy()
+            unit = _unit(np.array([np.frombuffer(x.as_buffer(), kind) for x in t["v"]], "f8"))
+            near = t["near"].combine_chunks().flatten().to_numpy().reshape(len(names), -1)
+            counts, label = cell_links(unit, t["n"].to_numpy(), near, t["side"].to_numpy(), now[0], now[1] == now[2], least, heads, shared)
+            hit = np.flatnonzero(counts)
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(names[hit]), pa.array(counts[hit]), pa.array(names[label[hit]])], names=["class", "links", "root"])
+
         for b in batches:
-            got = usable(b.column(3))
-            ok = [i for i, x in enumerate(got) if x is not None and len(x) == points.shape[1]]
-            if not ok:
-                continue
-            unit = _unit(np.array([got[i] for i in ok]))
-            near = np.sort(np.argsort(-(unit @ points.T), axis=1, kind="stable")[:, :k].astype("i4"), axis=1)
-            pick, first, second = [], [], []
-            for i, j in combinations(range(k), 2):
-                pick.append(np.arange(len(ok)))
-                first.append(near[:, i])
-                second.append(near[:, j])
-            at = np.concatenate(pick)
-            part = b.take(pa.array(np.array(ok)[at]))
-            lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype="i4") * x.shape[1]), pa.array(x.ravel(), kind))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(np.concatenate(first)), pa.array(np.concatenate(second)), lists(near[at], pa.int32()), lists(unit[at], pa.float64())], names=["class", "id", "n", "p", "q", "near", "unit"])
-
-    if k < 2:
-        entries = None
-        links = spark.createDataFrame([], "class binary, links long, root binary")
-    else:
-        entries = classes.select("class", "id", "n", "v").mapInArrow(listed, "class binary, id long, n long, p int, q int, near array<int>, unit array<double>")
-        sizes = entries.groupBy("p", "q").agg(F.count("*").alias("size")).filter("size > 1").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-        placed = entries.join(sizes.select("p", "q", "blocks"), ["p", "q"]).withColumn("b", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-        cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("b")).alias("i"), F.greatest(j, F.col("b")).alias("j"), F.when(j < F.col("b"), 1).otherwise(0).alias("side")))
-        dealt = placed.select("class", "n", "p", "q", "near", "unit", F.explode(cells).alias("cell")).select("p", "q", "cell.i", "cell.j", "cell.side", "class", "n", "near", "unit")
-
-        def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[pa.RecordBatch] = []
-            now = None
-
-            def out() -> Iterator[pa.RecordBatch]:
-                t = pa.Table.from_batches(held).combine_chunks()
-                names = t["class"].to_pylist()
-                if len(names) < 2:
-                    return
-                near = t["near"].combine_chunks().flatten().to_numpy().reshape(len(names), -1)
-                unit = t["unit"].combine_chunks().flatten().to_numpy().reshape(len(names), -1)
-                counts, label = cell_links(unit, t["n"].to_numpy(), near, t["side"].to_numpy(), now[:2], now[2] == now[3], least, shared)
-                hit = np.flatnonzero(counts)
-                if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in hit], pa.binary()), pa.array(counts[hit], pa.int64()), pa.array([names[label[i]] for i in hit], pa.binary())], names=["class", "links", "root"])
-
-            for b in batches:
-                keys = list(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True))
-                i = 0
-                while i < len(keys):
-                    j = i
-                    while j < len(keys) and keys[j] == keys[i]:
-                        j += 1
-                    if keys[i] != now:
-                        if held:
-                            yield from out()
-                        held, now = [], keys[i]
-                    held.append(b.slice(i, j - i))
-                    i = j
-            if held:
-                yield from out()
-
-        links = dealt.repartition("p", "q", "i", "j").sortWithinPartitions("p", "q", "i", "j").mapInArrow(linked, "class binary, links long, root binary")
-    links = written(links, "links")
+            keys = np.stack([b.column(i).to_numpy() for i in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                key = tuple(keys[i].tolist())
+                if key != now:
+                    if held:
+                        yield from out()
+                    held, now = [], key
+                held.append(b.slice(i, j - i))
+        if held:
+            yield from out()
+
+    links = written(dealt.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j", "class").mapInArrow(linked, "class long, links long, root long"), "links")
+    dropped(index)
     roots = connected(links.select(F.col("class").alias("a"), F.col("root").alias("b")))
-    rooted = classes.select("class", "id", "n").join(roots, F.col("class") == F.col("node"), "left").select("class", "id", "n", F.coalesce("root", "class").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("id").alias("component"))
+    # Classes without a link to another need no join on their component.
+    apart = classes.select("class", "digest", "id", "n").join(roots, F.col("class") == F.col("node"), "left").select("class", "digest", "id", "n", "root")
+    named = written(apart, "rooted")
+    smallest = named.filter("root is not null").groupBy("root").agg(F.min("id").alias("component"))
     counts = links.groupBy("class").agg(F.sum("links").alias("links"))
-    done = rooted.join(smallest, "root").join(counts, "class", "left").select("class", "component", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
-    return members.join(done, "class", "left").select(
-        F.col("id").alias(id_col),
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"),
-        F.col("id").eqNullSafe(F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component"))).alias("kept"),
-    )
+    joined = named.filter("root is not null").join(smallest, "root").join(counts, "class", "left").select("digest", "component", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
+    done = joined.unionAll(named.filter("root is null").select("digest", F.col("id").alias("component"), (F.col("n") - 1).alias("links")))
+    own = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component"))
+    return members.join(done, "digest", "left").select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))

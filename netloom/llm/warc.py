@@ -11,7 +11,8 @@ reduced to their largest id before anything is joined, and payloads move once, b
 
 Reading: choose index rows, sort them by file and offset, and fetch neighbouring records
 with one read (gaps up to `gap` bytes are read too, one read holds up to `span` bytes). Reads are
-dealt out by file and span, so a large archive is read by many tasks.
+dealt out by file and span to as many tasks as the chosen records' bytes call for (index rows are too small to tell), so a large archive is read by many tasks.
+Archives that no index row names, of attempts that failed, are deleted by `vacuum`.
 
 Defined results: null html is an empty payload; null urls have no target URI; a null id is
 written as none, and its row is always a response; rows that repeat the id and payload of a
@@ -37,6 +38,8 @@ LEAST_BYTES = 1000
 ARCHIVE = 64 << 20
 #: Bytes between two records that are read rather than skipped; bytes of one read.
 GAP, SPAN = 64 << 10, 8 << 20
+#: Reads of a task.
+TASK_SPANS = 4
 DATE = "2000-01-01T00:00:00Z"
 
 INDEX = "file string, offset long, length long, id long, url string, digest string, payload_bytes long, record_type string, refers_to long"
@@ -140,6 +143,20 @@ def index(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
+def vacuum(spark: SparkSession, folder: str) -> int:
+    """Delete archives that no index row names, once no writer is at work; returns how many."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/archives")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return 0
+    there = spark.createDataFrame([(f.getPath().getName(),) for f in store.listStatus(path)], "name string")
+    known = index(spark, folder).select(F.element_at(F.split("file", "/"), -1).alias("name")).distinct()
+    gone = [r["name"] for r in there.join(known, "name", "left_anti").collect()]
+    for name in gone:
+        store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/archives/{name}"), False)
+    return len(gone)
+
+
 def coalesced(ranges: list[tuple[str, int, int]], gap: int, span: int) -> list[tuple[str, int, int, int]]:
     """Of ranges (file, offset, length) sorted so: reads (file, offset, length, number of ranges)."""
     out: list[tuple[str, int, int, int]] = []
@@ -175,5 +192,7 @@ def read(chosen: DataFrame, payloads: bool = True, gap: int = GAP, span: int = S
                 yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]))
 
     rows = chosen.select("file", "offset", "length")
-    dealt = rows.repartition("file", F.floor(F.col("offset") / span)).sortWithinPartitions("file", "offset")
+    total = rows.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(chosen.sparkSession.sparkContext.defaultParallelism, -(-total // (TASK_SPANS * span)))
+    dealt = rows.repartition(tasks, "file", F.floor(F.col("offset") / span)).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
