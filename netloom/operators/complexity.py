@@ -1,8 +1,8 @@
 """Complexity of the gaps between packets: spectral entropy, approximate entropy, Hurst exponent.
 
 Fourier transforms have no SQL form, so these run in Arrow batches of sessions. Sessions are
-put together as sorted lists by a groupBy, which holds one session at a time; those with
-over `cap` gaps use a bounded number of pairs at a time, not all at once.
+put together as sorted lists by a groupBy, which holds one session at a time. Approximate entropy compares all pairs of
+a session's windows, 256 windows at a time, so its time grows with the square of a session's gaps, its memory in proportion to them.
 """
 
 from __future__ import annotations
@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 from netloom.operators.sessions import SESSION
 
 
+#: Fewer gaps have no Hurst exponent.
+LEAST = 10
+
+
 def spectral_entropy(x: np.ndarray) -> float:
-    """Natural entropy of the power spectrum without its mean, over the logarithm of its size."""
+    """Entropy (in bits) of the power spectrum without its mean."""
     if len(x) <= 4 or x.std() < 1e-12:
         return 0.0
     power = np.abs(np.fft.rfft(x - x.mean())) ** 2
@@ -51,6 +55,8 @@ def approximate_entropy(x: np.ndarray, m: int = 2, share: float = 0.2) -> float:
 
 def hurst(x: np.ndarray) -> float:
     """Slope of log deviation of lagged differences against log lag, in [0, 1]; 0.5 where it can't be told."""
+    if len(x) < LEAST:
+        return 0.5
     top = min(len(x) // 2, 50)
     lags = np.arange(2, top)
     if len(lags) < 2:

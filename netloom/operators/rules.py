@@ -1,6 +1,6 @@
 """Rules: conditions on features, compiled to columns; mining, replay and revision.
 
-A rule is {"rule_id", "label", "priority", "confidence", "conditions": [{"feature", "op", "value"}]}. No user
+A rule is {"rule_id", "label", "priority", "confidence", "conditions": [{"feature", "op", "value"}]}; a range has a value of two numbers, or min and max. No user
 expression is ever evaluated: operators come from a fixed list and become column expressions, so a whole rule set runs
 inside one projection, without joins and without Python.
 """
@@ -22,6 +22,8 @@ OPERATORS = ("range", "<=", ">=", ">", "<", "==", "!=", "exists", "not_exists",
 def condition(c: dict, columns: dict[str, str], missing: float | None = None) -> Column:
     """columns: types by name. A missing feature (null; with `missing`, that value) fails all but not_exists; NaN fails all comparisons but !=."""
     op, name, value = c["op"], c["feature"], c.get("value")
+    if op == "range" and value is None:
+        value = [c.get("min", -math.inf), c.get("max", math.inf)]
     if op not in OPERATORS:
         return F.lit(False)
     if name not in columns:
@@ -34,8 +36,10 @@ def condition(c: dict, columns: dict[str, str], missing: float | None = None) ->
         return x.isNotNull() & (F.lit(True) if number else x != "")
     if op == "not_exists":
         return x.isNull() | (F.lit(False) if number else x == "")
-    if op == "contains":
-        return F.coalesce(F.array_contains(x, value) if columns[name].startswith("array") else F.contains(x.cast("string"), F.lit(str(value))), F.lit(False))
+    if op == "contains":  # of a list of values, any
+        wanted = value if isinstance(value, list) else [value]
+        has = (lambda v: F.array_contains(x, v)) if columns[name].startswith("array") else lambda v: F.contains(x.cast("string"), F.lit(str(v)))
+        return F.coalesce(reduce(Column.__or__, [has(v) for v in wanted], F.lit(False)), F.lit(False))
     if op == "==":
         return F.coalesce(x.cast("string") == F.lit(str(value)), F.lit(False))
     d = x.cast("double")
@@ -152,23 +156,21 @@ def revise(rules: list[dict], edits: list[dict], deployed: list[str]) -> list[di
 
 
 def save_bundle(folder: str, rules: list[dict], features: list[str], labels: dict[int, str], **meta) -> None:
-    """rules.json, selected_features.json and bundle_config.json."""
-    from pathlib import Path
+    """rules.json, selected_features.json and bundle_config.json, in the store of the folder's scheme."""
+    from netloom.sources.results import write_text
 
-    p = Path(folder)
-    p.mkdir(parents=True, exist_ok=True)
-    (p / "rules.json").write_text(json.dumps(rules, indent=1))
-    (p / "selected_features.json").write_text(json.dumps(features))
-    (p / "bundle_config.json").write_text(json.dumps({"labels": {str(k): v for k, v in labels.items()}} | meta, indent=1))
+    write_text(f"{folder}/rules.json", json.dumps(rules, indent=1))
+    write_text(f"{folder}/selected_features.json", json.dumps(features))
+    write_text(f"{folder}/bundle_config.json", json.dumps({"labels": {str(k): v for k, v in labels.items()}} | meta, indent=1))
 
 
 def load_bundle(folder: str) -> tuple[list[dict], list[str], dict]:
     """All three files must be there; label numbers are integers again."""
-    from pathlib import Path
+    from netloom.sources.results import exists, read_text
 
-    files = [Path(folder) / n for n in ("rules.json", "selected_features.json", "bundle_config.json")]
-    lacking = [f.name for f in files if not f.is_file()]
+    files = ["rules.json", "selected_features.json", "bundle_config.json"]
+    lacking = [f for f in files if not exists(f"{folder}/{f}")]
     if lacking:
         raise FileNotFoundError(f"{folder} lacks {', '.join(lacking)}")
-    rules, features, config = (json.loads(f.read_text()) for f in files)
+    rules, features, config = (json.loads(read_text(f"{folder}/{f}")) for f in files)
     return rules, features, config | {"labels": {int(k): v for k, v in config["labels"].items()}}

@@ -26,3 +26,19 @@ def get_session(app: str = "netloom", master: str | None = None, **conf: str) ->
     for key, value in (DEFAULTS | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder that the driver and all executors see: below spark.checkpoint.dir, or, where that is unset on one machine, in a temporary folder that is set."""
+    import tempfile
+    import uuid
+
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not root:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
+        root = sc._jsc.sc().getCheckpointDir().get()
+    path = f"{root.rstrip('/')}/{sc.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    return path if path.startswith("file:") or "://" in path else f"file://{path}"

@@ -3,12 +3,15 @@
     spark.dataSource.register(CaptureSource)
     spark.read.format("capture").option("max_packets", 1000).load("/captures/*.pcap")
 
-One task reads one file as a stream, in bounded memory. A file that ends within a record ends there.
+One task reads one file as a stream, in bounded memory. A file that ends within a record ends there. Paths may be files,
+folders (searched through: all *.pcap by name, then all *.pcapng) or hold wildcards in their last part; with a scheme they are
+read from the store that it names.
 """
 
 from __future__ import annotations
 
-import glob
+import fnmatch
+import posixpath
 import struct
 from collections.abc import Iterator
 from typing import BinaryIO
@@ -108,6 +111,44 @@ def packets(f: BinaryIO, max_packets: int | None = None) -> Iterator[tuple[float
         yield x
 
 
+def _store(path: str):
+    """The file system of a path, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def discover(paths: str) -> list[str]:
+    """Files of paths, which are separated by commas."""
+    from pyarrow import fs
+
+    out = []
+    for p in filter(None, paths.split(",")):
+        store, inner = _store(p)
+        prefix = p[: len(p) - len(inner)] if p.endswith(inner) else ""
+        if any(c in inner for c in "*?["):
+            base = posixpath.dirname(inner)
+            found = [f.path for f in store.get_file_info(fs.FileSelector(base, allow_not_found=True)) if f.type == fs.FileType.File and fnmatch.fnmatch(f.path, inner)]
+            out += sorted(prefix + f for f in found)
+        elif (info := store.get_file_info(inner)).type == fs.FileType.Directory:
+            found = [f.path for f in store.get_file_info(fs.FileSelector(inner, recursive=True)) if f.type == fs.FileType.File]
+            out += [prefix + f for kind in (".pcap", ".pcapng") for f in sorted(found) if f.endswith(kind)]
+        elif info.type == fs.FileType.File:
+            out.append(p)
+    if not out:
+        raise FileNotFoundError(paths)
+    return out
+
+
+def kind_of(path: str) -> tuple[str, int]:
+    """Format of a file by its first four bytes, the only ones that are read, and its size."""
+    store, inner = _store(path)
+    with store.open_input_stream(inner, compression=None) as f:
+        magic = f.read(4)
+    kind = "pcapng" if magic == PCAPNG else "unknown" if magic not in PCAP_MAGIC else "pcap" if PCAP_MAGIC[magic][1] == 1e6 else "pcap_ns"
+    return kind, store.get_file_info(inner).size
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -122,20 +163,18 @@ class _Reader(DataSourceReader):
             raise ValueError("max_packets must be positive")
 
     def partitions(self):
-        found = sorted(x for p in self.paths.split(",") for x in glob.glob(p.removeprefix("file://"), recursive=True))
-        if not found:
-            raise FileNotFoundError(self.paths)
-        return [_File(x) for x in found]
+        return [_File(x) for x in discover(self.paths)]
 
     def read(self, partition):
         name = partition.path.rsplit("/", 1)[-1]
-        with open(partition.path, "rb") as f:
+        store, inner = _store(partition.path)
+        with store.open_input_stream(inner, compression=None, buffer_size=1 << 20) as f:
             for i, (ts, link, data) in enumerate(packets(f, self.cap)):
                 yield name, i, ts, link, data
 
 
 class CaptureSource(DataSource):
-    """Format "capture"; path may hold wildcards and commas."""
+    """Format "capture"; path may be a folder, hold wildcards, and name several by commas."""
 
     @classmethod
     def name(cls):
@@ -206,6 +245,51 @@ def decoded(raw):
     return raw.select("capture", "pkt_idx", "ts", "link_type", "data").mapInArrow(run, f"capture string, pkt_idx long, ts double, {DECODED}")
 
 
+def written(rows, folder: str):
+    """Capture files, one for each value of `capture`, in the order of pkt_idx; rows: capture (a file name), pkt_idx, us (microseconds since 1970), data. Returns capture, packets, bytes.
+
+    A capture is one file, so it is one task's work, which streams. A file has its name only when it is whole.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        store, base = _store(folder)
+        store.create_dir(base, recursive=True)
+        now, out, n, size = None, None, 0, 0
+        done = []
+
+        def end():
+            out.close()
+            store.move(f"{base}/_{now}", f"{base}/{now}")
+            done.append((now, n, size))
+
+        for b in batches:
+            for capture, us, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if capture != now:
+                    if out is not None:
+                        end()
+                    now, n, size, out = capture, 0, 24, store.open_output_stream(f"{base}/_{capture}", compression=None)
+                    out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 1 << 18, ETHERNET))
+                out.write(struct.pack("<IIII", us // 1_000_000, us % 1_000_000, len(data), len(data)) + data)
+                n, size = n + 1, size + 16 + len(data)
+        if out is not None:
+            end()
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["capture", "packets", "bytes"])
+
+    dealt = rows.select("capture", "pkt_idx", "us", "data").repartition("capture").sortWithinPartitions("capture", "pkt_idx")
+    return dealt.mapInArrow(run, "capture string, packets long, bytes long")
+
+
+def statistics(raw):
+    """By capture: packets and bytes, how many are IP, TCP, UDP and other, with payload, first and last time."""
+    from pyspark.sql import functions as F
+
+    total = raw.groupBy("capture").agg(F.count("*").alias("packets"), F.sum(F.octet_length("data")).alias("bytes"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    kinds = decoded(raw).groupBy("capture").agg(F.count("*").alias("ip"), F.count_if(F.col("protocol") == 6).alias("tcp"), F.count_if(F.col("protocol") == 17).alias("udp"), F.count_if(F.col("payload_length") > 0).alias("with_payload"), F.sum("payload_length").alias("payload_bytes"))
+    out = total.join(kinds, "capture", "left").fillna(0)
+    return out.withColumn("not_ip", F.col("packets") - F.col("ip")).withColumn("other_ip", F.col("ip") - F.col("tcp") - F.col("udp"))
+
+
 def write_pcap(path: str, rows: list[tuple[float, bytes]], nano: bool = False, big: bool = False, link: int = ETHERNET) -> None:
     """A capture file, for tests and examples."""
     order, unit = (">" if big else "<"), (10**9 if nano else 10**6)

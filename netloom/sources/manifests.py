@@ -87,24 +87,44 @@ def _struct(ddl: str) -> str:
     return ", ".join(f"{n}:{t}" for n, t in (x.split() for x in ddl.split(", ")))
 
 
-def write_predictions(rows: DataFrame, path: str, **extra) -> None:
-    """A JSON document with a version, counts and the results. Results are lines of a folder beside it, so that any number can be written."""
-    rows.write.mode("overwrite").json(f"{path}.rows")
-    with open(path, "w") as f:
-        json.dump({"version": 1, "results_in": f"{path}.rows", "n_results": rows.count()} | extra, f, indent=1)
-
-
 def name_parts(name: Column, pattern: str = r"^[A-Za-z0-9.\-]+?-([A-Za-z0-9]+?)(?:_p(\d+))?\.pcap$") -> list[Column]:
     """Class and part number of a capture's file name; null where it has another form."""
     cls = F.nullif(F.regexp_extract(name, pattern, 1), F.lit(""))
     return [cls.alias("class"), F.nullif(F.regexp_extract(name, pattern, 2), F.lit("")).try_cast("int").alias("part")]
 
 
-def audit(spark: SparkSession, path: str) -> DataFrame:
-    """By format: files and bytes of a folder of captures, told by their first four bytes."""
-    b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.hex(F.substring("content", 1, 4)).alias("magic"))
-    kind = F.when(F.col("magic").isin("D4C3B2A1", "A1B2C3D4"), "pcap").when(F.col("magic").isin("4D3CB2A1", "A1B23C4D"), "pcap_ns").when(F.col("magic") == "0A0D0D0A", "pcapng").otherwise("unknown")
-    return b.groupBy(kind.alias("format")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+def audit(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """By class (of the file's name; null if it has none) and format: files, bytes, and how many are anomalous: empty, of no known format, or named like nothing. Files' first four bytes are read, no more."""
+    from netloom.sources.capture import discover, kind_of
+
+    names = spark.createDataFrame([(p,) for p in discover(path)], "path string")  # one short row a file
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found = [kind_of(p) for p in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k for k, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["path", "format", "size"])
+
+    files = names.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "path string, format string, size long")
+    base = F.element_at(F.split("path", "/"), -1)
+    known = files.select(*(name_parts(base, pattern) if pattern else name_parts(base)), "format", "size")
+    odd = (F.col("size") == 0) | (F.col("format") == "unknown") | F.col("class").isNull()
+    return known.groupBy("class", "format").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.count_if(odd).alias("anomalies"))
+
+
+def catalog(spark: SparkSession, path: str) -> DataFrame:
+    """path, class, part of captures whose names have the form, whole ones before parts, by class."""
+    from netloom.sources.capture import discover
+
+    names = spark.createDataFrame([(p,) for p in discover(path)], "path string")
+    return names.select("path", *name_parts(F.element_at(F.split("path", "/"), -1))).filter("class IS NOT NULL").orderBy("class", F.col("part").asc_nulls_first(), "path")
+
+
+def single_activity(captures: DataFrame, counts: str = "activities") -> DataFrame:
+    """Captures whose map of counts by activity has just one that is over 0; adds activity."""
+    some = F.map_keys(F.map_filter(counts, lambda k, n: n > 0))
+    return captures.filter(F.size(some) == 1).withColumn("activity", some[0])
 
 
 def candidate_label(name: Column, prefixes: list[str]) -> Column:

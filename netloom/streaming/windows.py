@@ -23,9 +23,15 @@ def event_stream(spark: SparkSession, folder: str, late: str = "1 hour", per_tri
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
-def drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs a stream over what is there and returns its result as a table, written in the checkpoint folder."""
+def drained(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Runs a stream of updated rows over what is there; returns the last row of each key, from Parquet in the folder (the driver holds none of them)."""
     spark = stream.sparkSession
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")  # a batch that is tried again replaces itself
+
+    q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    rest = [c for c in stream.columns if c not in keys]
+    rows = spark.read.parquet(f"{folder}/rows")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("r")).select(*keys, "r.*")
