@@ -105,18 +105,16 @@ RUN_SQL = f"""{B.CTX}, rn AS (SELECT *, sum(CASE WHEN prev_dir IS NULL OR prev_d
     sum(CASE WHEN prev_dir IS NULL OR prev_dir <> direction OR iat > {B.BURST} THEN 1 ELSE 0 END) OVER (PARTITION BY {KEYS} ORDER BY pkt_idx) AS burst FROM ctx)"""
 ORACLES["q_bursts"] = f"WITH {RUN_SQL}, b AS (SELECT {KEYS}, burst, count(*) AS n, max(ts) - min(ts) AS seconds FROM rn GROUP BY ALL HAVING count(*) >= 2) SELECT {KEYS}, {X.rounded_ansi({'num_bursts': 'count(*)'} | X.stats6('seconds', 'burst_duration') | X.stats6('n', 'burst_pkt_count'))} FROM b GROUP BY {KEYS}"
 
-_BULK = {}
-for _p, _d in (("fwd", "direction = 1"), ("bwd", "direction = -1")):
-    _BULK |= {f"{_p}_bulk_count": f"count_if({_d})", f"{_p}_bulk_total_bytes": f"coalesce(sum(bytes) FILTER (WHERE {_d}), 0)", f"{_p}_bulk_total_packets": f"coalesce(sum(n) FILTER (WHERE {_d}), 0)"}
-    _BULK |= {f"{_p}_avg_bulk_size": f"coalesce(avg(bytes) FILTER (WHERE {_d}), 0)", f"{_p}_avg_bulk_rate": f"coalesce(avg(bytes / greatest(seconds, 0.001)) FILTER (WHERE {_d}), 0)"}
-
-
 def q_bulk(spark, sf_dir):
-    return FF.bulks(B.ctx(spark, sf_dir)).groupBy(*S.SESSION).agg(*X.rounded(_BULK))
+    from netloom.operators.profiles import _bulk, _bulks
+
+    return _bulks(B.ctx(spark, sf_dir)).groupBy(*S.SESSION).agg(*X.rounded(_bulk()))
 
 
 QUERIES["q_bulk"] = q_bulk
-ORACLES["q_bulk"] = f"WITH {RUN_SQL}, b AS (SELECT {KEYS}, run, direction, count(*) AS n, CAST(sum(length) AS BIGINT) AS bytes, max(ts) - min(ts) AS seconds FROM rn GROUP BY ALL HAVING count(*) >= 4) SELECT {KEYS}, {X.rounded_ansi(_BULK)} FROM b GROUP BY {KEYS}"
+_side = lambda p, d: f"""count_if(direction = {d})::DOUBLE AS {p}_bulk_count, coalesce(sum(CASE WHEN direction = {d} THEN bytes END), 0)::DOUBLE AS {p}_bulk_total_bytes, coalesce(sum(CASE WHEN direction = {d} THEN n END), 0)::DOUBLE AS {p}_bulk_total_packets,
+round(coalesce(avg(CASE WHEN direction = {d} THEN bytes END), 0), 6) AS {p}_avg_bulk_size, round(coalesce(sum(CASE WHEN direction = {d} THEN bytes END), 0) / greatest(max(span), 0.001), 6) AS {p}_avg_bulk_rate"""
+ORACLES["q_bulk"] = f"WITH {RUN_SQL}, sp AS (SELECT {KEYS}, max(ts) - min(ts) AS span FROM ctx GROUP BY ALL), b AS (SELECT {KEYS}, run, direction, count(*) AS n, CAST(sum(length) AS BIGINT) AS bytes, max(span) AS span FROM rn JOIN sp USING ({KEYS}) GROUP BY ALL HAVING count(*) >= 4) SELECT {KEYS}, {_side('fwd', 1)}, {_side('bwd', -1)} FROM b GROUP BY {KEYS}"
 
 _AI = X.stats6("seconds", "active", "kind = 'active'") | X.stats6("seconds", "idle", "kind = 'idle'")
 
