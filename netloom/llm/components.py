@@ -31,7 +31,7 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node that has a link to another; root is the smallest node reachable. Loops and repeated links do no harm."""
-    now = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct(), "links")
+    now = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct(), "links", short=True)
     seen = None
     while True:
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -39,6 +39,6 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = sign
         large = _large_star(now).distinct()
-        after = written(_small_star(large).distinct(), "links")
+        after = written(_small_star(large).distinct(), "links", short=True)
         dropped(now)
         now = after

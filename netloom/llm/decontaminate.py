@@ -35,14 +35,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.shared import written
+from netloom.llm.shared import bitmap, passes, text_key, without, written
 
 WIDTH, LEAST = 5, 0.8
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 5
 #: Items of so few shingles, and the radius of their blocks.
 SHORT, SHORT_RADIUS = 8, 6
-#: Bits of the bitmap of anchors.
-BITMAP = 1 << 24
 NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
 
 
@@ -85,28 +83,11 @@ def _block(fp: Column, b: int) -> Column:
     return F.shiftrightunsigned(fp, b * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
 
 
-def _places(h: Column) -> list[Column]:
-    """The two bits of the bitmap that stand for a hash."""
-    return [h.bitwiseAND(F.lit(BITMAP - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(BITMAP - 1))]
-
-
-def _passes(h: Column, bitmap: Column) -> Column:
-    return reduce(Column.__and__, [F.getbit(F.get(bitmap, F.shiftrightunsigned(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in _places(h)])
-
-
-def _bitmap(anchors: DataFrame) -> DataFrame:
-    """One row with one array of a fixed size: the bits of all anchors."""
-    place = anchors.select(F.explode(F.array(*_places(F.col("h")))).alias("p")).distinct()
-    set_ = place.groupBy(F.shiftrightunsigned("p", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
-    every = anchors.sparkSession.range(BITMAP >> 6).join(set_, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    return written(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bitmap")), "bitmap")
-
-
 def _matched(docs: DataFrame, items: DataFrame, least: float, width: int, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame | None:
     """id, row (hash of the text), item, n, start, similarity of all windows that match; None if no item has a word."""
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     item = items.select(F.col(item_col).alias("name"), words(F.col(item_text)).alias("w")).filter("w[0] <> ''").distinct()
-    item = written(item.select(F.monotonically_increasing_id().alias("item"), "name", "w", F.size("w").alias("n"), F.least(F.size("w"), F.lit(width)).alias("k")), "items")
+    item = written(item.select(F.monotonically_increasing_id().alias("item"), "name", "w", F.size("w").alias("n"), F.least(F.size("w"), F.lit(width)).alias("k")), "items", short=True)
     widths = [r["k"] for r in item.select("k").distinct().orderBy("k").collect()]  # at most `width` numbers
     if not widths:
         return None
@@ -118,23 +99,23 @@ def _matched(docs: DataFrame, items: DataFrame, least: float, width: int, id_col
         most = m - F.ceil(m * least - 1e-9)  # shingles that may be missing, from a document shorter than the item too
         one = x.select("item", "n", F.lit(k).alias("k"), F.explode(F.slice(F.array_sort(F.array_distinct("h")), 1, (most + 1).cast("int"))).alias("h"))
         anchors = one if anchors is None else anchors.unionAll(one)
-    anchors = written(anchors, "anchors")
-    bitmap = _bitmap(anchors)
-    known = text.withColumn("row", F.xxhash64("text")).withColumn("w", words(F.col("text"))).withColumn("bitmap", bitmap.scalar())
-    holds = reduce(Column.__or__, [F.exists(hashes(F.col("w"), k), lambda h: _passes(h, F.col("bitmap"))) for k in widths])
-    suspects = written(written(known.filter(holds).select("id", "row", "w"), "found").dropDuplicates(["id", "row"]), "suspects")
+    anchors = written(anchors, "anchors", short=True)
+    bits = bitmap(anchors, F.col("h"))
+    known = text.withColumn("row", text_key(F.col("text"))).withColumn("w", words(F.col("text"))).withColumn("bitmap", bits.scalar())
+    holds = reduce(Column.__or__, [F.exists(hashes(F.col("w"), k), lambda h: passes(h, F.col("bitmap"))) for k in widths])
+    suspects = written(written(known.filter(holds).select("id", "row", "w"), "found").dropDuplicates(["id", "row"]), "suspects", short=True)
 
     def met(k: int) -> DataFrame:
         a = anchors.filter(F.col("k") == k).select("n", "h").distinct()
         found = suspects.select("id", "row", F.size("w").alias("size"), F.posexplode(hashes(F.col("w"), k)).alias("at", "h"))
-        return found.withColumn("bitmap", bitmap.scalar()).filter(_passes(F.col("h"), F.col("bitmap"))).join(a, "h").select("id", "row", "size", F.lit(k).alias("k"), "n", "at", "h")
+        return found.withColumn("bitmap", bits.scalar()).filter(passes(F.col("h"), F.col("bitmap"))).join(a, "h").select("id", "row", "size", F.lit(k).alias("k"), "n", "at", "h")
 
-    found = written(reduce(DataFrame.unionAll, [met(k) for k in widths]), "anchored")
+    found = written(reduce(DataFrame.unionAll, [met(k) for k in widths]), "anchored", short=True)
     hit_items = anchors.join(found.select("k", "n", "h").distinct(), ["k", "n", "h"], "left_semi").select("item").distinct()
     # Starts of the windows of n words that cover an anchor; a shorter document is one window.
     last = F.greatest(F.col("size") - F.col("n"), F.lit(0))
     starts = F.sequence(F.least(F.greatest(F.col("at") + F.col("k") - F.col("n"), F.lit(0)), last), F.least(F.col("at"), last))
-    hits = written(found.select("id", "row", "size", "k", "n", F.explode(starts).alias("start")).distinct(), "windows")
+    hits = written(found.select("id", "row", "size", "k", "n", F.explode(starts).alias("start")).distinct(), "windows", short=True)
     same_row = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.row") == F.col(f"{b}.row"))
 
     # Fingerprints of windows and of items.
@@ -147,7 +128,7 @@ def _matched(docs: DataFrame, items: DataFrame, least: float, width: int, id_col
         prints = one if prints is None else prints.unionAll(one)
         own = x.select("item", "n", F.size("h").alias("m"), F.explode("h").alias("h")).groupBy("item", "n", "m").agg(*_lanes(F.col("h"))).select("item", F.lit(k).alias("k"), "n", _fingerprint(F.col("m")).alias("item_fp"))
         item_prints = own if item_prints is None else item_prints.unionAll(own)
-    prints = written(prints, "prints")
+    prints = written(prints, "prints", short=True)
 
     # Multi-index search: an item under all values within its radius of each block.
     def around(value: str) -> Column:
@@ -194,6 +175,4 @@ def clean(docs: DataFrame, items: DataFrame, least: float = LEAST, width: int =
     good = _matched(docs, items, least, width, id_col, text_col, item_col, item_text)
     if good is None:
         return docs
-    bad = written(good.select("id", "row").distinct(), "leaks").alias("leak")
-    same = F.col(f"doc.{id_col}").eqNullSafe(F.col("leak.id")) & (F.xxhash64(f"doc.{text_col}") == F.col("leak.row"))
-    return docs.alias("doc").join(bad.hint("merge"), same, "left_anti")  # never broadcast: it grows with the documents
+    return without(docs, written(good.select("id", F.col("row").alias("key")).distinct(), "leaks", short=True), id_col, text_col)

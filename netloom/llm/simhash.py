@@ -26,43 +26,49 @@ from collections.abc import Iterator
 from functools import reduce
 from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.components import connected
-from netloom.llm.shared import written
+from netloom.llm.shared import split_off, text_key, without, written
 
 BITS = 64
 #: Fingerprints that share a key, beyond which they are linked by stars.
 HOT = 128
 
 
+def majority(raw: np.ndarray) -> int:
+    """Of hashes as rows of 8 bytes: a signed number whose bits are those set in over half of them."""
+    ones = np.zeros(BITS, "i8")
+    for i in range(0, len(raw), 65535):
+        bits = np.unpackbits(raw[i : i + 65535], axis=1)
+        whole = len(bits) // 255 * 255  # sums of 255 bits fit a byte
+        ones += bits[:whole].reshape(-1, 255, BITS).sum(axis=1, dtype="u1").sum(axis=0, dtype="i8") + bits[whole:].sum(axis=0, dtype="u1")
+    return int.from_bytes(np.packbits(2 * ones > len(raw)).tobytes(), "big", signed=True)
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """64 bits, signed; a bit is 1 if it is in over half the shingles' hashes."""
-    import numpy as np
     from xxhash import xxh64_digest
 
     words = (text or "").encode("utf-8", "replace").lower().split()  # of bytes: A-Z and ASCII white space only
     if not words:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-    raw = np.frombuffer(b"".join(map(xxh64_digest, shingles, repeat(42))), "u1").reshape(-1, 8)
-    ones = np.zeros(BITS, "i8")
-    for i in range(0, len(raw), 65536):
-        ones += np.unpackbits(raw[i : i + 65536], axis=1).sum(axis=0, dtype="i4")
-    return int.from_bytes(np.packbits(2 * ones > len(raw)).tobytes(), "big", signed=True)
+    return majority(np.frombuffer(b"".join(map(xxh64_digest, shingles, repeat(42))), "u1").reshape(-1, 8))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """id and fp (long) of each row."""
+    """id, key (text_key of the text) and fp (long) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py(), width) for t in b.column(1)], pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([fingerprint(t.as_py(), width) for t in b.column(2)], pa.int64())], names=["id", "key", "fp"])
 
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp long")
+    src = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, key long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -108,25 +114,37 @@ def links(prints: DataFrame, radius: int = 2, hot: int = HOT) -> DataFrame:
     return pairs.unionAll(stars.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """id_col, fingerprint (16 hex digits), component_id (smallest id reachable) of each row."""
-    prints = written(fingerprints(docs, id_col, text_col), "prints")
-    classes = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
+def rows_of(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", width: int = 3, hot: int = HOT) -> DataFrame:
+    """id, key, fp and root (of the component, whatever it is) of each row."""
+    prints = written(fingerprints(docs, id_col, text_col, width), "prints")
+    classes = written(prints.select("fp").distinct(), "classes", short=True)
     roots = connected(links(classes, radius, hot))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(labelled, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(roots, prints.fp == roots.node, "left").select("id", "key", "fp", F.coalesce("root", "fp").alias("root"))
 
 
-def one_of_each(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with the smallest id of each component; of rows with one id, one. Rows without an id stay only if their whole component has none."""
-    return firsts(docs, near_duplicates(docs, radius, id_col, text_col), id_col)
+def near_duplicates(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """id_col, fingerprint (16 hex digits), component_id (smallest id reachable) of each row."""
+    rows = written(rows_of(docs, radius, id_col, text_col, hot=hot), "rooted", short=True)
+    least = rows.groupBy("root").agg(F.min("id").alias("component_id"))
+    return rows.join(least, "root").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def firsts(docs: DataFrame, near: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """one_of_each, of the components (id_col, component_id) in near."""
-    ids = written(near.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.count("*").alias("_rows")), "kept")
-    # Never broadcast: the kept ids grow with the documents.
-    out = docs.alias("d").join(ids.select(F.col(id_col).alias("_kept")).hint("merge"), F.col(f"d.{id_col}").eqNullSafe(F.col("_kept")), "left_semi")
-    return out if ids.filter("_rows > 1").isEmpty() else out.dropDuplicates([id_col])
+def one_of_each(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each component: that with the smallest id (rows without an id come last), then the smallest hash of its text; of equal such rows, any one."""
+    return firsts(docs, written(rows_of(docs, radius, id_col, text_col), "rooted", short=True), id_col, text_col)
+
+
+def firsts(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """one_of_each, of rows (id, key, root). Rows that go, and those that are there several times, are few: only rows that may be among them are dealt out anew."""
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("one")).select("root", "one.*")
+    first = first.select("root", F.col("id").alias("first_id"), F.col("key").alias("first_key"))
+    counts = rows.groupBy("root", "id", "key").agg(F.count("*").alias("n")).join(first, "root").withColumn("stays", F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")))
+    gone = written(counts.filter("not stays or n > 1").select("id", "key", "stays"), "gone", short=True)
+    out = without(docs, gone.select("id", "key").distinct(), id_col, text_col)
+    again = gone.filter("stays").select("id", "key")
+    if again.isEmpty():
+        return out
+    _, rest, one, same = split_off(docs, again, id_col, text_col)
+    whole = rest.join(one, same, "left_semi").select(F.struct(*[F.col(f"doc.`{c}`") for c in docs.columns]).alias("doc"))
+    each = whole.groupBy(F.col(f"doc.`{id_col}`").alias("id"), text_key(F.col(f"doc.`{text_col}`")).alias("key")).agg(F.any_value("doc").alias("doc"))
+    return out.unionAll(each.select("doc.*"))
