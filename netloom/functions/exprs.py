@@ -13,7 +13,12 @@ from pyspark.sql import functions as F
 
 
 def ansi(expr: str) -> str:
-    """The same expression for engines that call the exact percentile quantile_cont."""
+    """The same expression for engines that call the exact percentile quantile_cont, one share at a time."""
+
+    def one(m: re.Match) -> str:
+        return f"quantile_cont({m[1]}, {m[2].split(', ')[int(m[4])]}){m[3]}"
+
+    expr = re.sub(r"\(percentile\((.+?), array\(([^)]*)\)\)( FILTER \(WHERE [^\[]*\))?\)\[(\d)\]", lambda m: one(m) if m[3] else one([m[0], m[1], m[2], "", m[4]]), expr)
     return re.sub(r"\bpercentile\(", "quantile_cont(", expr)
 
 
@@ -29,10 +34,12 @@ def stats6(x: str, prefix: str, where: str | None = None) -> dict[str, str]:
 
 
 def stats8(x: str, prefix: str, where: str | None = None, names: int = 8) -> dict[str, str]:
-    """Mean, population deviation, minimum, maximum, quantiles .5, .25, .75, .9; 0 where there are no values."""
+    """Mean, population deviation, minimum, maximum, quantiles .5, .25, .75, .9; 0 where there are no values. All quantiles come from one list of the values."""
     f = _where(where)
-    made = {"mean": f"avg({x})", "std": f"stddev_pop({x})", "min": f"min({x})", "max": f"max({x})", "q50": f"percentile({x}, 0.5)", "q25": f"percentile({x}, 0.25)", "q75": f"percentile({x}, 0.75)", "q90": f"percentile({x}, 0.9)"}
-    return {f"{prefix}_{k}": f"coalesce({e}{f}, 0)" for k, e in list(made.items())[:names]}
+    made = {k: e + f for k, e in {"mean": f"avg({x})", "std": f"stddev_pop({x})", "min": f"min({x})", "max": f"max({x})"}.items()}
+    shares = ["0.5", "0.25", "0.75", "0.9"][: max(names - 4, 0)]
+    made |= {f"q{q[2:]:0<2}": f"(percentile({x}, array({', '.join(shares)})){f})[{i}]" for i, q in enumerate(shares)}
+    return {f"{prefix}_{k}": f"coalesce({e}, 0)" for k, e in list(made.items())[:names]}
 
 
 def ratio(a: str, b: str, least: str = "1") -> str:

@@ -97,14 +97,25 @@ def near_pairs(predicted: DataFrame, truth: DataFrame, tolerance: float, keys: l
     return p.join(q, [*keys, "_b"]).filter(F.abs(F.col("t") - F.col("truth_t")) <= tolerance).drop("_b")
 
 
+def connected_runs(pairs: DataFrame, keys: list[str], time: str, tolerance: float) -> DataFrame:
+    """Adds run: pairs whose times are further apart than any two that share an event can be are in different runs."""
+    w = Window.partitionBy(*keys).orderBy(time)
+    cut = (F.col(time) - F.lag(time).over(w)) > 2 * tolerance
+    return pairs.withColumn("run", F.sum(F.coalesce(cut, F.lit(True)).cast("int")).over(w))
+
+
 def match(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """A largest set of pairs (predicted_id, truth_id) in which each id occurs once, within keys, by augmenting paths."""
+    """A largest set of pairs (predicted_id, truth_id) in which each id occurs once, within keys, by augmenting paths.
+
+    Pairs are events close in time, so they fall apart into many small connected runs; where `run` is a column of pairs (connected_runs) it is a key too.
+    """
 
     def augment(pdf: pd.DataFrame) -> pd.DataFrame:
         options: dict = {}
         for p, t in sorted(zip(pdf["predicted_id"], pdf["truth_id"], strict=True)):
             options.setdefault(p, []).append(t)
         taken: dict = {}
+        mine: dict = {}  # what a prediction has, as taken says who has a truth event
         for start in options:
             # Breadth first: how each truth event can be reached by freeing others.
             came: dict = {}
@@ -121,8 +132,8 @@ def match(pairs: DataFrame, keys: list[str]) -> DataFrame:
                         queue.append(taken[t])
             while free is not None:
                 p = came[free]
-                before = next((t for t, q in taken.items() if q == p), None)
-                taken[free] = p
+                before = mine.get(p)
+                taken[free], mine[p] = p, free
                 free = before if p != start else None
         rows = [(p, t) for t, p in taken.items()]
         out = pd.DataFrame(rows, columns=["predicted_id", "truth_id"])

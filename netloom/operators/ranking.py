@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.operators.order import numbered
+
 
 def seeded(seed: str, *ids: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), *[i.cast("string") for i in ids]))
@@ -12,20 +14,17 @@ def seeded(seed: str, *ids: Column) -> Column:
 
 def group_split(rows: DataFrame, group: str, seed: str, train: float = 0.6, validation: float = 0.2) -> DataFrame:
     """Adds split: whole groups, in seeded order, to train, validation and test by their number."""
-    g = rows.select(group).distinct()
-    w = Window.orderBy(seeded(seed, F.col(group)), group)
-    n = g.count()
-    a, b = round(n * train), round(n * (train + validation))
-    i = F.row_number().over(w)
-    named = g.withColumn("split", F.when(i <= a, "train").when(i <= b, "validation").otherwise("test"))
-    return rows.join(named, group)
+    g = numbered(rows.select(F.col(group).alias("_g")).distinct().withColumn("_o", seeded(seed, F.col("_g"))), [], ["_o", "_g"], "_i", "_n")
+    upto = lambda share: F.bround(F.col("_n") * share)  # noqa: E731  halves to even
+    named = g.select("_g", F.when(F.col("_i") <= upto(train), "train").when(F.col("_i") <= upto(train + validation), "validation").otherwise("test").alias("split"))
+    return rows.join(named, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def stratified_split(rows: DataFrame, stratum: str, id_: str, seed: str, train: float = 0.6, validation: float = 0.2) -> DataFrame:
-    """Adds split, by the seeded place of a row within its stratum."""
-    w = Window.partitionBy(stratum)
-    share = (F.row_number().over(w.orderBy(seeded(seed, F.col(stratum), F.col(id_)), id_)) - 1) / F.count("*").over(w)
-    return rows.withColumn("split", F.when(share < train, "train").when(share < train + validation, "validation").otherwise("test"))
+    """Adds split, by the seeded place of a row within its stratum, however few strata there are."""
+    r = numbered(rows.withColumn("_o", seeded(seed, F.col(stratum), F.col(id_))), [stratum], ["_o", id_], "_i", "_n")
+    share = (F.col("_i") - 1) / F.col("_n")
+    return r.withColumn("split", F.when(share < train, "train").when(share < train + validation, "validation").otherwise("test")).drop("_o", "_i", "_n")
 
 
 def leaks(rows: DataFrame, key: str, split: str = "split") -> DataFrame:
@@ -60,8 +59,13 @@ def jaccard(scores: DataFrame, k: int) -> DataFrame:
 def oversample(rows: DataFrame, label: str, id_: str) -> DataFrame:
     """Rows of classes below the median size are repeated until they reach it; adds copy (0 for the originals)."""
     sizes = rows.groupBy(label).agg(F.count("*").alias("_n"))
-    median = sizes.agg(F.percentile("_n", 0.5).alias("_m"))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(id_)) - 1
-    j = rows.join(sizes, label).join(F.broadcast(median)).withColumn("_p", place)
-    extra = F.greatest(F.floor((F.col("_m") - 1 - F.col("_p")) / F.col("_n")), F.lit(0))
-    return j.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), extra.cast("bigint")))).drop("_n", "_m", "_p")
+    median = sizes.agg(F.percentile("_n", 0.5)).first()[0]  # a number a class
+    j = numbered(rows, [label], [id_], "_p", "_n")
+    extra = F.greatest(F.floor((F.lit(median) - F.col("_p")) / F.col("_n")), F.lit(0))
+    return j.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), extra.cast("bigint")))).drop("_n", "_p")
+
+
+def shuffled(rows: DataFrame, cls: str, file: str, id_: str, seed: str) -> DataFrame:
+    """Distinct observations with their place in their file, in an order that depends on the seed, class, file and id alone."""
+    d = rows.select(cls, file, id_).distinct().withColumn("_o", seeded(seed, F.col(cls), F.col(file), F.col(id_)))
+    return numbered(d, [cls, file], ["_o", id_], "place").drop("_o")

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.operators.order import numbered
+
 #: What a condition may say.
 OPERATORS = ("range", "<=", ">=", ">", "<", "==", "!=", "exists", "not_exists", "contains")
 
@@ -78,13 +80,23 @@ def statistical_rules(long: DataFrame, outside: float = 0.5, most: int = 8, leas
     """Ranges that hold the middle 90 % of a class's values of a feature and less than `outside` of all other classes' values.
 
     long: id, label, feature, x. Returns label, feature, low, high (4 decimals), outside; the `most` least shared of each class, for classes of
-    at least 3 rows with at least `least` such features. One pass for quantiles, one for shares: ranges are as many as classes times features.
+    at least 3 rows with at least `least` such features. Ranges are as many as classes times features.
     """
     from pyspark.sql import Window
 
-    q = long.groupBy("label", "feature").agg(F.percentile("x", F.array(F.lit(0.05), F.lit(0.95))).alias("q"), F.count("*").alias("n")).filter("n >= 3")
-    q = q.select(F.col("label").alias("rule_label"), "feature", F.round(F.col("q")[0], 4).alias("low"), F.round(F.col("q")[1], 4).alias("high"))
-    inside = long.join(q, "feature").filter("label <> rule_label").groupBy("rule_label", "feature", "low", "high").agg(F.avg(F.col("x").between(F.col("low"), F.col("high")).cast("double")).alias("outside"))
+    # Exact quantiles from places in order: no task holds a class's values.
+    n = numbered(long.filter("x IS NOT NULL"), ["label", "feature"], ["x", "id"], "_i", "_n")
+    ends = []
+    for share in (0.05, 0.95):
+        at = (F.col("_n") - 1) * share + 1
+        low = F.max(F.when(F.col("_i") == F.floor(at), F.col("x")))
+        high = F.max(F.when(F.col("_i") == F.ceil(at), F.col("x")))
+        ends.append(low + (high - low) * (F.max(at) - F.floor(F.max(at))))
+    q = n.groupBy("label", "feature").agg(F.round(ends[0], 4).alias("low"), F.round(ends[1], 4).alias("high"), F.count("*").alias("n")).filter("n >= 3")
+    # All classes' ranges of a feature in one row: a value meets them in place, and only counts by class move.
+    ranges = q.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("label", "low", "high"))).alias("ranges"))
+    met = long.join(F.broadcast(ranges), "feature").select("feature", "label", "x", F.explode("ranges").alias("r"))  # classes times features
+    inside = met.filter(F.col("label") != F.col("r.label")).groupBy(F.col("r.label").alias("rule_label"), "feature", "r.low", "r.high").agg(F.avg(F.col("x").between(F.col("r.low"), F.col("r.high")).cast("double")).alias("outside"))
     w = Window.partitionBy("rule_label")
     ranked = inside.filter(F.col("outside") < outside).withColumn("_r", F.row_number().over(w.orderBy(F.round("outside", 9), "feature"))).withColumn("_n", F.count("*").over(w))
     return ranked.filter((F.col("_r") <= most) & (F.col("_n") >= least)).select(F.col("rule_label").alias("label"), "feature", "low", "high", F.round("outside", 6).alias("outside"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.operators.order import numbered
+
 
 def basic_filter(long: DataFrame, most_missing: float = 0.5, least_std: float = 1e-10) -> DataFrame:
     """feature, missing, std of features that are neither mostly missing nor constant."""
@@ -13,18 +15,24 @@ def basic_filter(long: DataFrame, most_missing: float = 0.5, least_std: float =
 
 
 def ranks(long: DataFrame) -> DataFrame:
-    """Adds r: rank within the feature, ties at their mean."""
-    w, same = Window.partitionBy("feature"), Window.partitionBy("feature", "x")
-    return long.withColumn("r", F.rank().over(w.orderBy("x")) + (F.count("*").over(same) - 1) / 2.0)
+    """Adds r: rank within the feature, ties at their mean. Rows are numbered by ranges, so few features are no few tasks."""
+    n = numbered(long.filter("x IS NOT NULL"), ["feature"], ["x", "id"], "_i")
+    # Equal values are neighbours: a value's rank is the mean of its first and last place.
+    places = n.groupBy("feature", "x").agg(((F.min("_i") + F.max("_i")) / 2.0).alias("r"))
+    return n.drop("_i").join(places, ["feature", "x"])
+
+
+def products(long: DataFrame, value: str) -> DataFrame:
+    """a <= b, n, and sums of p, q, p*p, q*q, p*q over rows of each two features. A row's features meet in the row; sums are taken before anything moves."""
+    rows = long.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("feature", F.col(value).alias("x")))).alias("v"))
+    met = F.transform("v", lambda x, i: F.transform(F.slice(F.col("v"), i + 1, F.size("v")), lambda y: F.struct(x["feature"].alias("a"), y["feature"].alias("b"), x["x"].alias("p"), y["x"].alias("q"))))
+    pairs = rows.select(F.explode(F.flatten(met)).alias("z")).select("z.*")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("p", "q").alias("corr"), F.covar_samp("p", "q").alias("cov"))
 
 
 def spearman(long: DataFrame, least: float = 0.0) -> DataFrame:
-    """a < b, rho of features whose absolute rank correlation is over least. Pairs of features within a row: rows times features squared, summed before they move."""
-    r = ranks(long).select("id", "feature", "r")
-    rows = r.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("feature", "r"))).alias("v"))
-    n_pairs = F.transform("v", lambda x, i: F.transform(F.slice(F.col("v"), i + 2, F.size("v")), lambda y: F.struct(x["feature"].alias("a"), y["feature"].alias("b"), x["r"].alias("p"), y["r"].alias("q"))))
-    pairs = rows.select(F.explode(F.flatten(n_pairs)).alias("z")).select("z.*")
-    return pairs.groupBy("a", "b").agg(F.corr("p", "q").alias("rho")).filter(F.abs("rho") > least)
+    """a < b, rho of features whose absolute rank correlation is over least."""
+    return products(ranks(long), "r").filter("a < b").select("a", "b", F.col("corr").alias("rho")).filter(F.abs("rho") > least)
 
 
 def anova_f(long: DataFrame) -> DataFrame:
@@ -96,3 +104,15 @@ def greedy(scores: DataFrame, correlated: DataFrame, most: int = 30, least: int
         if len(taken) < most and not near.get(f, set()) & set(taken):
             taken.append(f)
     return taken + [f for f in order if f not in taken][: max(0, least - len(taken))]
+
+
+def transform(rows: DataFrame, selected: list[str]) -> DataFrame:
+    """The selected columns that there are, after those that describe the observation."""
+    return rows.select(*[c for c in rows.columns if c.startswith("_")], *[c for c in selected if c in rows.columns])
+
+
+def select(long: DataFrame, importances: DataFrame, most: int = 64, least: int = 4, correlated: float = 0.95, weight: float = 0.6) -> tuple[list, DataFrame]:
+    """The whole selection: features that are neither mostly missing nor constant, scored by importance and mutual information, greedily without correlated ones; and all scores. importances: feature, score."""
+    kept = long.join(F.broadcast(basic_filter(long).select("feature")), "feature")  # a row a feature
+    scores = fused(importances, mutual_information(kept).select("feature", F.col("mi").alias("score")), weight)
+    return greedy(scores, spearman(kept, correlated), most, least), scores

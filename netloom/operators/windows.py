@@ -7,10 +7,12 @@ looked up by comparing times.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.functions.exprs import entropy_of_counts, histogram, share, stats8
+from netloom.functions.exprs import entropy_of_counts, rounded, share, stats8
 from netloom.operators.sessions import SESSION
 
 
@@ -44,7 +46,7 @@ def slot_features(slots: int = 3) -> dict[str, str]:
     out |= {"overflow_n_seg": f"count_if(slot >= {slots})", "overflow_byte_ratio": share(f"coalesce(sum(bytes) FILTER (WHERE slot >= {slots}), 0)", "sum(bytes)")}
     at = lambda x, i: f"max(case when slot = {i} then {x} end)"
     for i in range(slots):
-        out |= {f"seg{i}_valid": f"count_if(slot = {i})", f"seg{i}_duration": at('"end" - "start"', i), f"seg{i}_pkt": at("n", i), f"seg{i}_up_ratio": at("up / cast(n as double)", i), f"seg{i}_up_byte_ratio": at("up_bytes / cast(greatest(bytes, 1) as double)", i), f"seg{i}_mean_len": at("mean_len", i), f"seg{i}_std_len": at("std_len", i)}
+        out |= {f"seg{i}_valid": f"case when count_if(slot = {i}) > 0 then 1 end", f"seg{i}_duration": at('"end" - "start"', i), f"seg{i}_pkt": at("n", i), f"seg{i}_up_ratio": at("up / cast(n as double)", i), f"seg{i}_up_byte_ratio": at("up_bytes / cast(greatest(bytes, 1) as double)", i), f"seg{i}_mean_len": at("mean_len", i), f"seg{i}_std_len": at("std_len", i)}
     for i in range(slots - 1):
         a, b = i, i + 1
         both = f"greatest(least({at(chr(34) + 'end' + chr(34), a)}, {at(chr(34) + 'end' + chr(34), b)}) - greatest({at(chr(34) + 'start' + chr(34), a)}, {at(chr(34) + 'start' + chr(34), b)}), 0)"
@@ -52,6 +54,7 @@ def slot_features(slots: int = 3) -> dict[str, str]:
         out |= {
             f"rel{a}{b}_gap": f"""{at('"start"', b)} - {at('"end"', a)}""",
             f"rel{a}{b}_overlap": f"case when {has} then {both} end",
+            f"rel{a}{b}_overlap_ratio": f"case when {has} then {both} / greatest({at(chr(34) + 'end' + chr(34) + ' - ' + chr(34) + 'start' + chr(34), a)}, {at(chr(34) + 'end' + chr(34) + ' - ' + chr(34) + 'start' + chr(34), b)}, 1e-9) end",
             f"rel{a}{b}_cross_conn": f"case when {has} then (case when {at('flow', a)} <> {at('flow', b)} then 1 else 0 end) end",
             f"rel{a}{b}_byte_ratio": f"{at('bytes', b)} / cast({at('bytes', a)} as double)",
         }
@@ -69,7 +72,8 @@ def window64() -> dict[str, str]:
     }
     out |= stats8("length", "size") | {"size_sum": "sum(length)"} | stats8("greatest(iat, 0)", "iat")
     out |= stats8("length", "up_size", up, 5) | stats8("length", "down_size", down, 5)
-    out |= histogram("length", [0, 64, 128, 256, 512, 768, 1024, 1280], "size_hist")
+    edges = [0, 64, 128, 256, 512, 768, 1024, 1280, 1601]
+    out |= {f"size_hist_{i}": share(f"count_if(length >= {a} AND length < {b})", n) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))}
     for name, cond in {"eq40": "length = 40", "560_610": "length between 560 and 610", "ge1450": "length >= 1450", "1300_1449": "length between 1300 and 1449", "le64": "length <= 64"}.items():
         out[f"size_{name}_ratio"] = share(f"count_if({cond})", n)
     out["size_unique_ratio"] = share("count(distinct length)", n)
@@ -90,6 +94,43 @@ def value_entropy(rows: DataFrame, keys: list[str], value: str, out: str) -> Dat
     return counts.groupBy(*keys).agg(F.round(F.expr(entropy_of_counts("c")), 6).alias(f"{out}_entropy"), F.round(F.max("c") / F.sum("c"), 6).alias(f"{out}_mode_ratio"))
 
 
+def behavior41(windowed: DataFrame, size: float, gap: float, keys: list[str], digits: int = 6) -> DataFrame:
+    """All figures of a behaviour window: its segments', its packets' changes of direction, its idle time."""
+    slots = segments(windowed, gap, keys).groupBy(*keys).agg(*rounded(sparked(slot_features()), digits))
+    changes = within(windowed, keys).groupBy(*keys).agg(F.expr(CHANGES).alias("dir_changes"))
+    idle = F.round(F.greatest(F.lit(float(size)) - F.col("active_span"), F.lit(0.0)), digits)
+    return slots.join(changes, keys).withColumn("idle", idle)
+
+
+def tunnel64(windowed: DataFrame, size: float, gap: float, keys: list[str], digits: int = 6) -> DataFrame:
+    """All figures of a tunnel window; k: the window's number. It starts after the capture's first packet if k is over 0."""
+    main = within(windowed, keys).groupBy(*keys).agg(*rounded(sparked(window64()), digits))
+    over = {k: v for k, v in slot_features().items() if k in ("n_seg", "overflow_n_seg", "overflow_byte_ratio")}
+    slots = segments(windowed, gap, keys).groupBy(*keys).agg(*rounded(sparked(over), digits))
+    out = main.join(slots, keys).join(value_entropy(windowed, keys, "length", "size"), keys)
+    return out.withColumn("idle", F.round(F.greatest(F.lit(float(size)) - F.col("active_span"), F.lit(0.0)), digits)).withColumn("truncated_prefix", (F.col("k") > 0).cast("double"))
+
+
+def sparked(named: dict[str, str]) -> dict[str, str]:
+    """Spark's quotes; distinct counts as sizes of sets, which takes one pass where several distinct counts would multiply the rows."""
+    quoted = {k: v.replace('"end"', "`end`").replace('"start"', "`start`") for k, v in named.items()}
+    return {k: re.sub(r"count\(distinct (\w+)\)", r"size(collect_set(\1))", v) for k, v in quoted.items()}
+
+
+def multiflow(windowed: DataFrame, keys: list[str], least: int = 20, digits: int = 6) -> DataFrame:
+    """Figures of the flows in a window: counts, the busiest one's shares, statistics and Gini coefficients of their packets and bytes. Windows with fewer packets fall."""
+    by = windowed.groupBy(*keys, "flow").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"), F.min("rel").alias("first"))
+    at = lambda c: F.row_number().over(Window.partitionBy(*keys).orderBy(c, "flow"))
+    return by.withColumn("rank_n", at("n")).withColumn("rank_bytes", at("bytes")).groupBy(*keys).agg(*rounded(MULTIFLOW, digits)).filter(F.col("n_pkt") >= least)
+
+
+def _gini(x: str, rank: str) -> str:
+    return f"case when sum({x}) > 0 then 2.0 * sum({rank} * {x}) / (count(*) * sum({x})) - (count(*) + 1.0) / count(*) else 0 end"
+
+
+MULTIFLOW = {"n_flows": "count(*)", "n_pkt": "sum(n)", "bytes": "sum(bytes)", "top_pkt_share": "max(n) / cast(sum(n) as double)", "top_share": "max(bytes) / cast(sum(bytes) as double)", "pkt_gini": _gini("n", "rank_n"), "byte_gini": _gini("bytes", "rank_bytes")} | stats8("bytes", "flow_bytes") | stats8("n", "flow_pkts")
+
+
 def tumbling(ctx: DataFrame, size: float, least: int = 5) -> DataFrame:
     """Windows of each session from its own first packet on; sessions shorter than one window, and windows of fewer packets, are left out. Adds k."""
     s = Window.partitionBy(*SESSION)

@@ -143,7 +143,7 @@ ORACLES["q_interval_join"] = f"WITH {EV} SELECT terminal, label, predicted_id, t
 def q_event_matching(spark, sf_dir):
     p, t = _events(spark, sf_dir)
     pairs = E.near_pairs(p, t, TOLERANCE, ["terminal", "label"])
-    return E.match(pairs, ["terminal", "label"])
+    return E.match(E.connected_runs(pairs, ["terminal", "label"], "t", TOLERANCE), ["terminal", "label", "run"]).drop("run")
 
 
 QUERIES["q_event_matching"] = q_event_matching
@@ -188,24 +188,24 @@ ORACLES["q_split_join"] = "SELECT n_nationkey, r_name, (SELECT count(*) FROM cus
 def q_endpoint_pool(spark, sf_dir):
     """Mean probability of each class over rows that share a capture and an endpoint, given to every such row."""
     w = Window.partitionBy("capture", "endpoint")
-    rows = B.wide(spark, sf_dir).select("id", (F.col("id") % 7).alias("capture"), (F.col("id") % 13).alias("endpoint"), *[F.abs(F.col(f"f{i}")).alias(f"p{i}") for i in range(4)])
-    return rows.select("id", *[F.round(F.avg(f"p{i}").over(w), 6).alias(f"pooled{i}") for i in range(4)])
+    rows = B.wide(spark, sf_dir).select("id", (F.col("id") % 7).alias("capture"), (F.col("id") % 13).alias("endpoint"), *[F.abs(F.col(f"f{i}")).alias(f"p{i}") for i in range(64)])
+    return rows.select("id", *[F.round(F.avg(f"p{i}").over(w), 6).alias(f"pooled{i}") for i in range(64)])
 
 
 QUERIES["q_endpoint_pool"] = q_endpoint_pool
-ORACLES["q_endpoint_pool"] = f"WITH {B.WIDE} SELECT id, " + ", ".join(f"round(avg(abs(f{i})) OVER (PARTITION BY id % 7, id % 13), 6) AS pooled{i}" for i in range(4)) + " FROM wide"
+ORACLES["q_endpoint_pool"] = f"WITH {B.WIDE} SELECT id, " + ", ".join(f"round(avg(abs(f{i})) OVER (PARTITION BY id % 7, id % 13), 6) AS pooled{i}" for i in range(64)) + " FROM wide"
 
 
 def q_capture_z(spark, sf_dir):
     w = Window.partitionBy("label", "feature")
-    m = B.matrix(spark, sf_dir).filter("feature < 8")
+    m = B.matrix(spark, sf_dir)
     z = (F.col("x") - F.avg("x").over(w)) / F.stddev_samp("x").over(w)
     ok = F.coalesce(F.stddev_samp("x").over(w), F.lit(0.0)) > 1e-12
     return m.select("id", "feature", F.round(F.when(ok, z).otherwise(0.0), 5).alias("z"))
 
 
 QUERIES["q_capture_z"] = q_capture_z
-ORACLES["q_capture_z"] = f"WITH {B.MAT} SELECT id, feature, round(CASE WHEN coalesce(stddev_samp(x) OVER w, 0) > 1e-12 THEN (x - avg(x) OVER w) / stddev_samp(x) OVER w ELSE 0 END, 5) AS z FROM mat WHERE feature < 8 WINDOW w AS (PARTITION BY label, feature)"
+ORACLES["q_capture_z"] = f"WITH {B.MAT} SELECT id, feature, round(CASE WHEN coalesce(stddev_samp(x) OVER w, 0) > 1e-12 THEN (x - avg(x) OVER w) / stddev_samp(x) OVER w ELSE 0 END, 5) AS z FROM mat WINDOW w AS (PARTITION BY label, feature)"
 
 
 def q_capture_pctrank(spark, sf_dir):

@@ -125,11 +125,11 @@ ORACLES["q_basic_filter"] = f"WITH {B.MAT}, m AS (SELECT feature, CASE WHEN feat
 
 
 def q_spearman(spark, sf_dir):
-    return L.spearman(B.matrix(spark, sf_dir).filter("feature < 16")).select("a", "b", F.round("rho", 5).alias("rho"))
+    return L.spearman(B.matrix(spark, sf_dir)).select("a", "b", F.round("rho", 5).alias("rho"))
 
 
 QUERIES["q_spearman"] = q_spearman
-ORACLES["q_spearman"] = f"WITH {B.MAT}, r AS (SELECT id, feature, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0::DOUBLE AS r FROM mat WHERE feature < 16) SELECT p.feature AS a, q.feature AS b, round(corr(p.r, q.r), 5) AS rho FROM r p JOIN r q ON p.id = q.id AND p.feature < q.feature GROUP BY ALL"
+ORACLES["q_spearman"] = f"WITH {B.MAT}, r AS (SELECT id, feature, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0::DOUBLE AS r FROM mat) SELECT p.feature AS a, q.feature AS b, round(corr(p.r, q.r), 5) AS rho FROM r p JOIN r q ON p.id = q.id AND p.feature < q.feature GROUP BY ALL"
 
 
 def q_anova_f(spark, sf_dir):
@@ -152,11 +152,11 @@ ORACLES["q_mi_binned"] = f"WITH {MI_SQL} SELECT feature, round(mi, 6) AS mi FROM
 
 
 def q_conditional_mi(spark, sf_dir):
-    return L.conditional_information(B.matrix(spark, sf_dir).filter("feature < 12"), 0).select("feature", F.round("cmi", 6).alias("cmi"))
+    return L.conditional_information(B.matrix(spark, sf_dir), 0).select("feature", F.round("cmi", 6).alias("cmi"))
 
 
 QUERIES["q_conditional_mi"] = q_conditional_mi
-ORACLES["q_conditional_mi"] = f"WITH {BIN_SQL.replace('* 8), 7)', '* 4), 3)')}, z AS (SELECT id, bin AS z FROM bn WHERE feature = 0), c AS (SELECT feature, z, bin, label, count(*) AS c FROM bn JOIN z USING (id) WHERE feature BETWEEN 1 AND 11 GROUP BY ALL), p AS (SELECT *, sum(c) OVER (PARTITION BY feature) AS n, sum(c) OVER (PARTITION BY feature, z) AS cz, sum(c) OVER (PARTITION BY feature, z, bin) AS cb, sum(c) OVER (PARTITION BY feature, z, label) AS cl FROM c) SELECT feature, round(sum(c / n * ln(c * cz / (cb * cl))), 6) AS cmi FROM p GROUP BY feature"
+ORACLES["q_conditional_mi"] = f"WITH {BIN_SQL.replace('* 8), 7)', '* 4), 3)')}, z AS (SELECT id, bin AS z FROM bn WHERE feature = 0), c AS (SELECT feature, z, bin, label, count(*) AS c FROM bn JOIN z USING (id) WHERE feature > 0 GROUP BY ALL), p AS (SELECT *, sum(c) OVER (PARTITION BY feature) AS n, sum(c) OVER (PARTITION BY feature, z) AS cz, sum(c) OVER (PARTITION BY feature, z, bin) AS cb, sum(c) OVER (PARTITION BY feature, z, label) AS cl FROM c) SELECT feature, round(sum(c / n * ln(c * cz / (cb * cl))), 6) AS cmi FROM p GROUP BY feature"
 
 
 def q_discriminative_power(spark, sf_dir):
@@ -336,11 +336,11 @@ ORACLES["q_nearest_neighbour"] = "WITH d AS (SELECT a.vec_id, b.vec_id AS near_i
 
 
 def q_coral(spark, sf_dir):
-    """Covariances of two domains, as sums over rows: the input of an alignment, whose matrices are as small as features squared."""
-    d = B.wide(spark, sf_dir).withColumn("domain", F.col("id") % 2)
-    pairs = [(i, j) for i in range(4) for j in range(i, 4)]
-    return d.groupBy("domain").agg(*[F.round(F.covar_samp(f"f{i}", f"f{j}"), 6).alias(f"c{i}{j}") for i, j in pairs])
+    """Covariances of all features in two domains, as sums over rows: the input of an alignment, whose matrices are as small as features squared."""
+    m = B.matrix(spark, sf_dir)
+    parts = [L.products(m.filter(F.col("id") % 2 == d), "x").select(F.lit(d).alias("domain"), "a", "b", F.round("cov", 6).alias("cov")) for d in (0, 1)]
+    return parts[0].unionAll(parts[1])
 
 
 QUERIES["q_coral"] = q_coral
-ORACLES["q_coral"] = f"WITH {B.WIDE} SELECT id % 2 AS domain, " + ", ".join(f"round(covar_samp(f{i}, f{j}), 6) AS c{i}{j}" for i in range(4) for j in range(i, 4)) + " FROM wide GROUP BY 1"
+ORACLES["q_coral"] = f"WITH {B.MAT} SELECT p.id % 2 AS domain, p.feature AS a, q.feature AS b, round(covar_samp(p.x, q.x), 6) AS cov FROM mat p JOIN mat q ON p.id = q.id AND p.feature <= q.feature GROUP BY ALL"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from netloom.plans import evaluation_queries, flow_queries, matrix_queries, profile_queries, sequence_queries, source_queries, window_queries
+from netloom.plans import evaluation_queries, experiment_queries, flow_queries, matrix_queries, profile_queries, sequence_queries, source_queries, window_queries
 
-MODULES = [flow_queries, sequence_queries, window_queries, evaluation_queries, matrix_queries, profile_queries, source_queries]
+MODULES = [flow_queries, sequence_queries, window_queries, evaluation_queries, matrix_queries, profile_queries, experiment_queries, source_queries]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _m in MODULES:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from netloom.functions import exprs as X
@@ -20,38 +18,43 @@ SIZE, STEP, SEGMENT = 5, 1, 2
 WIDE, WIDE_STEP, TUMBLE = 45, 45, 60
 
 
-def _spark(named: dict[str, str]) -> dict[str, str]:
-    """Spark's quotes; distinct counts as sizes of sets, which takes one pass where several distinct counts would multiply the rows."""
-    quoted = {k: v.replace('"end"', "`end`").replace('"start"', "`start`") for k, v in named.items()}
-    return {k: re.sub(r"count\(distinct (\w+)\)", r"size(collect_set(\1))", v) for k, v in quoted.items()}
-
-
 def _sliding_sql(size: float, step: float, name: str) -> str:
     return f"""{name}_o AS (SELECT capture_id, arg_min(ts, pkt_idx) AS origin FROM pkt GROUP BY ALL), {name}_r AS (SELECT p.*, p.ts - o.origin AS rel FROM pkt p JOIN {name}_o o USING (capture_id) WHERE p.ts - o.origin >= 0),
     {name} AS (SELECT *, unnest(range(greatest(CAST(floor((rel - {size}) / {step}) AS BIGINT) + 1, 0), CAST(floor(rel / {step}) AS BIGINT) + 1)) AS k FROM {name}_r)"""
 
 
 def q_sliding_window_features(spark, sf_dir):
-    s = W.segments(W.sliding(B.packets(spark, sf_dir), SIZE, STEP), SEGMENT, WIN)
-    return s.groupBy(*WIN).agg(*X.rounded(_spark(W.slot_features())))
+    return W.behavior41(W.sliding(_six(spark, sf_dir), SIZE, STEP), SIZE, SEGMENT, WIN)
+
+
+def _six(spark, sf_dir):
+    """What windows read of packets: they repeat them, so nothing else travels."""
+    return B.packets(spark, sf_dir).select("capture_id", "flow", "pkt_idx", "ts", "direction", "length")
 
 
 QUERIES["q_sliding_window_features"] = q_sliding_window_features
-ORACLES["q_sliding_window_features"] = f"""WITH {B.PKT}, {_sliding_sql(SIZE, STEP, 'sw')},
+SEG_SQL = f"""{B.PKT}, {_sliding_sql(SIZE, STEP, 'sw')},
 c AS (SELECT *, CASE WHEN rel - lag(rel) OVER (PARTITION BY capture_id, k, flow ORDER BY pkt_idx) > {SEGMENT} THEN 1 ELSE 0 END AS b FROM sw),
 d AS (SELECT *, sum(b) OVER (PARTITION BY capture_id, k, flow ORDER BY pkt_idx) AS seg FROM c),
 e AS (SELECT capture_id, k, flow, seg, min(rel) AS "start", max(rel) AS "end", min(pkt_idx) AS first_idx, count(*) AS n, CAST(sum(length) AS BIGINT) AS bytes, avg(length) AS mean_len, stddev_pop(length) AS std_len,
 count_if(direction = 1) AS up, CAST(coalesce(sum(length) FILTER (WHERE direction = 1), 0) AS BIGINT) AS up_bytes FROM d GROUP BY ALL),
-f AS (SELECT *, row_number() OVER (PARTITION BY capture_id, k ORDER BY "start", first_idx) - 1 AS slot FROM e) SELECT capture_id, k, {X.rounded_ansi(W.slot_features())} FROM f GROUP BY capture_id, k"""
+f AS (SELECT *, row_number() OVER (PARTITION BY capture_id, k ORDER BY "start", first_idx) - 1 AS slot FROM e),
+v AS (SELECT *, ts - lag(ts) OVER w AS iat, lag(direction) OVER w AS prev_dir FROM sw WINDOW w AS (PARTITION BY capture_id, k ORDER BY pkt_idx))"""
+ORACLES["q_sliding_window_features"] = f"""WITH {SEG_SQL}, g AS (SELECT capture_id, k, {X.rounded_ansi(W.slot_features())} FROM f GROUP BY capture_id, k), h AS (SELECT capture_id, k, count_if(prev_dir IS NOT NULL AND prev_dir <> direction) AS dir_changes FROM v GROUP BY ALL)
+SELECT g.*, dir_changes, round(greatest({SIZE}.0::DOUBLE - active_span, 0), 6) AS idle FROM g JOIN h USING (capture_id, k)"""
 
 
 def q_tunnel_window64(spark, sf_dir):
-    w = W.within(W.sliding(B.packets(spark, sf_dir), SIZE, STEP), WIN)
-    return w.groupBy(*WIN).agg(*X.rounded(_spark(W.window64())))
+    out = W.tunnel64(W.sliding(_six(spark, sf_dir), SIZE, STEP), SIZE, SEGMENT, WIN)
+    assert len(out.columns) == len(WIN) + 64
+    return out
 
 
 QUERIES["q_tunnel_window64"] = q_tunnel_window64
-ORACLES["q_tunnel_window64"] = f"WITH {B.PKT}, {_sliding_sql(SIZE, STEP, 'sw')}, v AS (SELECT *, ts - lag(ts) OVER w AS iat, lag(direction) OVER w AS prev_dir FROM sw WINDOW w AS (PARTITION BY capture_id, k ORDER BY pkt_idx)) SELECT capture_id, k, {X.rounded_ansi(W.window64())} FROM v GROUP BY capture_id, k"
+ORACLES["q_tunnel_window64"] = f"""WITH {SEG_SQL}, m AS (SELECT capture_id, k, {X.rounded_ansi(W.window64())} FROM v GROUP BY capture_id, k),
+s AS (SELECT capture_id, k, count(*)::DOUBLE AS n_seg, count_if(slot >= 3)::DOUBLE AS overflow_n_seg, round(coalesce(sum(bytes) FILTER (WHERE slot >= 3), 0) / greatest(sum(bytes), 1), 6) AS overflow_byte_ratio FROM f GROUP BY capture_id, k),
+u AS (SELECT capture_id, k, length, count(*) AS c FROM sw GROUP BY ALL), z AS (SELECT capture_id, k, round({X.entropy_of_counts('c')}, 6) AS size_entropy, round(max(c) / sum(c), 6) AS size_mode_ratio FROM u GROUP BY capture_id, k)
+SELECT *, round(greatest({SIZE}.0::DOUBLE - active_span, 0), 6) AS idle, CASE WHEN k > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS truncated_prefix FROM m JOIN s USING (capture_id, k) JOIN z USING (capture_id, k)"""
 
 
 def q_window_size_entropy(spark, sf_dir):
@@ -74,16 +77,22 @@ def q_flow_window64(spark, sf_dir):
 QUERIES["q_flow_window64"] = q_flow_window64
 ORACLES["q_flow_window64"] = f"WITH {TUM_SQL}, v AS (SELECT * REPLACE (ts - lag(ts) OVER w AS iat, lag(direction) OVER w AS prev_dir) FROM tu WINDOW w AS (PARTITION BY {KEYS}, k ORDER BY pkt_idx)) SELECT {KEYS}, k, {X.rounded_ansi(W.flow_window64())} FROM v GROUP BY {KEYS}, k"
 
-_MULTI = {"n_flows": "count(*)", "n_pkt": "sum(n)", "bytes": "sum(bytes)", "top_share": "max(bytes) / cast(sum(bytes) as double)"} | X.stats8("bytes", "flow_bytes") | X.stats8("n", "flow_pkts")
+#: Widths and steps of windows over all flows.
+MULTI = [(30, 30), (45, 45), (60, 30)]
 
 
 def q_multiflow_window(spark, sf_dir):
-    by = W.sliding(B.packets(spark, sf_dir), WIDE, WIDE_STEP).groupBy(*WIN, "flow").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
-    return by.groupBy(*WIN).agg(*X.rounded(_MULTI)).filter("n_pkt >= 20")
+    p = _six(spark, sf_dir)
+    parts = [W.multiflow(W.sliding(p, size, step), WIN).withColumn("width", F.lit(size)).withColumn("step", F.lit(step)) for size, step in MULTI]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 QUERIES["q_multiflow_window"] = q_multiflow_window
-ORACLES["q_multiflow_window"] = f"WITH {B.PKT}, {_sliding_sql(WIDE, WIDE_STEP, 'sw')}, f AS (SELECT capture_id, k, flow, count(*) AS n, CAST(sum(length) AS BIGINT) AS bytes FROM sw GROUP BY ALL) SELECT capture_id, k, {X.rounded_ansi(_MULTI)} FROM f GROUP BY capture_id, k HAVING sum(n) >= 20"
+ORACLES["q_multiflow_window"] = " UNION ALL ".join(
+    f"""(WITH {B.PKT}, {_sliding_sql(size, step, 'sw')}, f AS (SELECT capture_id, k, flow, count(*) AS n, CAST(sum(length) AS BIGINT) AS bytes FROM sw GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY capture_id, k ORDER BY n, flow) AS rank_n, row_number() OVER (PARTITION BY capture_id, k ORDER BY bytes, flow) AS rank_bytes FROM f)
+SELECT capture_id, k, {X.rounded_ansi(W.MULTIFLOW)}, {size} AS width, {step} AS step FROM r GROUP BY capture_id, k HAVING sum(n) >= 20)"""
+    for size, step in MULTI
+)
 
 
 def q_topk_flows_window(spark, sf_dir):
