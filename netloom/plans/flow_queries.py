@@ -206,6 +206,15 @@ def q_iat_complexity(spark, sf_dir):
 
 
 QUERIES["q_iat_complexity"] = q_iat_complexity
+# Written out: the power of each frequency, pairs of close windows, the slope of deviations against lags.
+ORACLES["q_iat_complexity"] = f"""WITH {B.CTX}, g AS (SELECT {KEYS}, row_number() OVER w - 1 AS i, iat AS x, lead(iat) OVER w AS x1, lead(iat, 2) OVER w AS x2, count(*) OVER s AS n, avg(iat) OVER s AS m, stddev_pop(iat) OVER s AS sd FROM ctx WHERE iat IS NOT NULL WINDOW w AS (PARTITION BY {KEYS} ORDER BY pos), s AS (PARTITION BY {KEYS})),
+fr AS (SELECT {KEYS}, k, sum((x - m) * cos(2 * pi() * k * i / n)) ** 2 + sum((x - m) * sin(2 * pi() * k * i / n)) ** 2 AS p FROM (SELECT *, unnest(range(n // 2 + 1)) AS k FROM g WHERE n > 4 AND sd >= 1e-12) GROUP BY {KEYS}, k),
+ft AS (SELECT *, p / sum(p) OVER (PARTITION BY {KEYS}) AS q FROM fr), se AS (SELECT {KEYS}, round(-sum(q * log2(q)) FILTER (WHERE q > 0), 6) AS e FROM ft GROUP BY {KEYS}),
+pr AS (SELECT {KEYS}, any_value(a.n) AS n, count_if(abs(a.x - b.x) <= 0.2 * a.sd AND abs(a.x1 - b.x1) <= 0.2 * a.sd) AS s2, count_if(abs(a.x - b.x) <= 0.2 * a.sd AND abs(a.x1 - b.x1) <= 0.2 * a.sd AND abs(a.x2 - b.x2) <= 0.2 * a.sd) AS s3 FROM g a JOIN g b USING ({KEYS}) WHERE a.i < b.i AND a.n >= 4 AND a.sd >= 1e-12 GROUP BY {KEYS}),
+ap AS (SELECT {KEYS}, round(ln(s2 / ((n - 1) * (n - 2) / 2.0::DOUBLE)) - ln(s3 / ((n - 2) * (n - 3) / 2.0::DOUBLE)), 6) AS e FROM pr WHERE s2 > 0 AND s3 > 0),
+lg AS (SELECT {KEYS}, k, stddev_pop(b.x - a.x) AS t FROM (SELECT *, unnest(range(2, least(n // 2, 50))) AS k FROM g WHERE n >= 10) a JOIN g b USING ({KEYS}) WHERE b.i = a.i + a.k GROUP BY {KEYS}, k),
+hu AS (SELECT {KEYS}, round(least(greatest(regr_slope(ln(t), ln(k)), 0), 1), 6) AS e FROM lg WHERE t > 1e-12 GROUP BY {KEYS} HAVING count(*) >= 2)
+SELECT {KEYS}, coalesce(se.e, 0) AS iat_spectral_entropy, coalesce(ap.e, 0) AS iat_approximate_entropy, coalesce(hu.e, 0.5)::DOUBLE AS iat_hurst_exponent FROM (SELECT DISTINCT {KEYS} FROM g) LEFT JOIN se USING ({KEYS}) LEFT JOIN ap USING ({KEYS}) LEFT JOIN hu USING ({KEYS})"""
 
 
 def q_syn_rtt(spark, sf_dir):

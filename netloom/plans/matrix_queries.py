@@ -188,6 +188,12 @@ def q_greedy_topk(spark, sf_dir):
 
 
 QUERIES["q_greedy_topk"] = q_greedy_topk
+ORACLES["q_greedy_topk"] = f"""WITH RECURSIVE {MI_SQL}, rr AS (SELECT id, feature, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0::DOUBLE AS r FROM mat),
+sp AS (SELECT p.feature AS a, q.feature AS b FROM rr p JOIN rr q ON p.id = q.id AND p.feature < q.feature GROUP BY ALL HAVING abs(corr(p.r, q.r)) > 0.08), nb AS (SELECT a, list(b) AS l FROM (SELECT a, b FROM sp UNION ALL SELECT b, a FROM sp) GROUP BY a),
+od AS (SELECT feature, coalesce(l, []::INTEGER[]) AS l, row_number() OVER (ORDER BY round(mi, 9) DESC, feature) AS rn FROM mi LEFT JOIN nb ON a = feature),
+g(step, taken) AS (SELECT 0::BIGINT, []::INTEGER[] UNION ALL SELECT step + 1, CASE WHEN len(taken) < 12 AND len(list_intersect(taken, l)) = 0 THEN list_append(taken, feature) ELSE taken END FROM g JOIN od ON rn = step + 1),
+z AS (SELECT taken FROM g ORDER BY step DESC LIMIT 1), y AS (SELECT taken || (SELECT list(feature ORDER BY rn) FROM od WHERE NOT list_contains(taken, feature))[1:greatest(4 - len(taken), 0)] AS taken FROM z)
+SELECT CAST(unnest(range(len(taken))) AS INTEGER) AS place, unnest(taken) AS feature FROM y"""
 
 
 def q_importance(spark, sf_dir):
