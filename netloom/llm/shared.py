@@ -36,7 +36,12 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 #: Shuffle partitions whose rows go to one file of a table of short rows.
-THIN = 8
+THIN = 32
+
+
+def thinned(df: DataFrame, by: int = THIN) -> DataFrame:
+    """In so many times fewer partitions than a shuffle makes."""
+    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // by))
 
 
 def written(df: DataFrame, label: str, compression: str = "zstd", short: bool = False, **options: str) -> DataFrame:
@@ -45,7 +50,7 @@ def written(df: DataFrame, label: str, compression: str = "zstd", short: bool =
     short: rows are a few numbers each, so that several shuffle partitions go to one file.
     """
     spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
-    made = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // THIN)) if short else df
+    made = thinned(df) if short else df
     made.write.options(compression=compression, **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
@@ -99,4 +104,4 @@ def split_off(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> t
 def without(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id and text aren't among keys. Only rows that may be are dealt out anew."""
     clear, rest, one, same = split_off(docs, keys, id_col, text_col)
-    return clear.unionAll(rest.join(one, same, "left_anti"))
+    return clear.unionAll(thinned(rest.join(one, same, "left_anti"), 8))  # few rows: their files shouldn't be as many as all others

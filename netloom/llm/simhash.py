@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.components import connected
-from netloom.llm.shared import split_off, text_key, without, written
+from netloom.llm.shared import split_off, text_key, thinned, without, written
 
 BITS = 64
 #: Fingerprints that share a key, beyond which they are linked by stars.
@@ -147,4 +147,4 @@ def firsts(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: s
     _, rest, one, same = split_off(docs, again, id_col, text_col)
     whole = rest.join(one, same, "left_semi").select(F.struct(*[F.col(f"doc.`{c}`") for c in docs.columns]).alias("doc"))
     each = whole.groupBy(F.col(f"doc.`{id_col}`").alias("id"), text_key(F.col(f"doc.`{text_col}`")).alias("key")).agg(F.any_value("doc").alias("doc"))
-    return out.unionAll(each.select("doc.*"))
+    return out.unionAll(thinned(each.select("doc.*"), 8))

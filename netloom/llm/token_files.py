@@ -75,7 +75,7 @@ class ByteBpe:
         self._model, self._letters = self._tok.model, dict(enumerate(_byte_letters()))
         self._whole = re.compile(f" ?[{LETTERS}]+").fullmatch  # such a part is a chunk of its own in the library's split
         self._cut = f"(?s)^(?P<stem>.*[{LETTERS}])(?P<tail>[{re.escape(ENDINGS)}]+)$"
-        self._parts = Memo(self._asked)
+        self._parts = Memo(self._asked, 250_000)
         newline = self._tok.encode("\n", add_special_tokens=False).ids
         by_word = by_word and len(newline) == 1
         self._newline_id, self._newline = newline[0] if newline else -1, np.array(newline, "<i4").tobytes()

@@ -14,24 +14,25 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries of either generation of a memo (only speed and memory depend on it).
-MEMO = 60_000
+#: Entries of either generation of a memo, if not said otherwise (only speed and memory depend on it).
+MEMO = 100_000
 #: Longer parts are encoded each time.
 MEMO_CHARS = 64
 #: Bytes of texts that are looked at together.
-BLOCK = 3 << 20
+BLOCK = 4 << 20
 
 
 class Memo:
     """Ids (bytes of little-endian int32) of parts. Two generations: when the young one is full it becomes the old one; what is asked for there comes back."""
 
-    def __init__(self, fill: Callable[[list[str]], list[bytes]]):
+    def __init__(self, fill: Callable[[list[str]], list[bytes]], size: int = MEMO):
+        self._size = size
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         self._fill = fill
 
     def of(self, parts: list[str]) -> list[bytes]:
-        if len(self._young) >= MEMO:
+        if len(self._young) >= self._size:
             self._old, self._young = self._young, {}
         young, old = self._young, self._old
         got = list(map(young.get, parts))
