@@ -164,3 +164,28 @@ def feed_lookup(rows: DataFrame, feed: DataFrame) -> DataFrame:
 def parity(a: DataFrame, b: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
     """Differences of two long tables: rows that one side lacks, and values that differ."""
     return a.select(*keys, F.col(value).alias("left")).join(b.select(*keys, F.col(value).alias("right")), keys, "full").filter(~F.col("left").eqNullSafe(F.col("right")))
+
+
+def required_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Every left row with its right one; a row without one is an error that names its key."""
+    marked = right.withColumn("_there", F.lit(True))
+    lacking = F.raise_error(F.concat(F.lit("no match for "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))).cast("boolean")
+    return left.join(marked, keys, "left").withColumn("_there", F.when(F.col("_there").isNull(), lacking).otherwise(F.col("_there"))).filter("_there").drop("_there")
+
+
+def merged(tables: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """Tables joined by keys; columns that several have get the table's name as a suffix."""
+    seen: dict[str, int] = {}
+    for t in tables.values():
+        for c in t.columns:
+            seen[c] = seen.get(c, 0) + (c not in keys)
+    out = None
+    for name, t in tables.items():
+        own = t.select(*[F.col(c).alias(c if c in keys or seen[c] < 2 else f"{c}_{name}") for c in t.columns])
+        out = own if out is None else out.join(own, keys)
+    return out
+
+
+def endpoints_of(sessions: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and remote endpoint of the sessions that are asked for. wanted: keys, a row an observation."""
+    return sessions.join(wanted.select(*keys).distinct(), keys, "left_semi").select(*keys, "remote_ip")

@@ -116,3 +116,8 @@ def select(long: DataFrame, importances: DataFrame, most: int = 64, least: int =
     kept = long.join(F.broadcast(basic_filter(long).select("feature")), "feature")  # a row a feature
     scores = fused(importances, mutual_information(kept).select("feature", F.col("mi").alias("score")), weight)
     return greedy(scores, spearman(kept, correlated), most, least), scores
+
+
+def aggregated(long: DataFrame, by: list[str]) -> DataFrame:
+    """by, feature, and mean, population deviation, median, sum and count of a matrix's columns."""
+    return long.groupBy(*by, "feature").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.percentile("x", 0.5).alias("median"), F.sum("x").alias("sum"), F.count("x").alias("n"))

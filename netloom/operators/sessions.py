@@ -94,3 +94,14 @@ def remote_endpoint(src_ip: Column, src_port: Column, dst_ip: Column, dst_port:
     """The side with a well-known port where just one has it; else the side that sent more; else the destination."""
     s, d = src_port < 1024, dst_port < 1024
     return F.when(s & ~d, src_ip).when(d & ~s, dst_ip).when(src_bytes > dst_bytes, src_ip).otherwise(dst_ip)
+
+
+def expired(summary: DataFrame, now: Column, timeout: float) -> DataFrame:
+    """Sessions (of summaries, with end_ts) that have been idle for longer than the timeout."""
+    return summary.filter(now - F.col("end_ts") > timeout)
+
+
+def state_counters(summary: DataFrame, most_closed: int = 100_000) -> DataFrame:
+    """By capture: sessions, those that a later one of their flow closed, and how many of these a queue of so many would have dropped. Nothing is evicted here: tables spill."""
+    by = summary.groupBy("capture_id").agg(F.count("*").alias("sessions"), F.count("close_pkt").alias("closed"))
+    return by.withColumn("dropped", F.greatest(F.col("closed") - most_closed, F.lit(0))).withColumn("evicted", F.lit(0))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import exprs as X
 from netloom.operators import evaluation as E
+from netloom.operators import sessions as S
 from netloom.plans import binding as B
 from netloom.plans.window_queries import LABEL_SQL, _labelled
 
@@ -285,3 +286,74 @@ def q_label_histogram(spark, sf_dir):
 
 QUERIES["q_label_histogram"] = q_label_histogram
 ORACLES["q_label_histogram"] = "WITH v AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS i FROM (SELECT DISTINCT event_type AS label FROM events WHERE event_type <> 'error')) SELECT CAST(coalesce(i, -1) AS INTEGER) AS label_id, count(*) AS n, round(avg(value), 6) AS mean_value FROM events LEFT JOIN v ON event_type = label GROUP BY 1"
+
+
+def q_required_join(spark, sf_dir):
+    """Orders with their customers; an order without one would be an error."""
+    o = B.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("key"))
+    c = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_nationkey")
+    return E.required_join(o, c, ["key"]).groupBy("c_nationkey").agg(F.count("*").alias("n"))
+
+
+QUERIES["q_required_join"] = q_required_join
+ORACLES["q_required_join"] = "SELECT c_nationkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey"
+
+
+def q_merge_suffixes(spark, sf_dir):
+    """Three tables of figures by nation; columns of one name are told apart."""
+    t = lambda name, key, bal: B.table(spark, sf_dir, name).groupBy(F.col(key).alias("nation")).agg(F.count("*").alias("n"), F.round(F.avg(bal), 4).alias("balance"))
+    n = B.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("name"))
+    return E.merged({"customer": t("customer", "c_nationkey", "c_acctbal"), "supplier": t("supplier", "s_nationkey", "s_acctbal"), "nation": n}, ["nation"])
+
+
+QUERIES["q_merge_suffixes"] = q_merge_suffixes
+ORACLES["q_merge_suffixes"] = """SELECT n_nationkey AS nation, n_customer, balance_customer, n_supplier, balance_supplier, n_name AS name FROM nation
+JOIN (SELECT c_nationkey, count(*) AS n_customer, round(avg(c_acctbal), 4) AS balance_customer FROM customer GROUP BY 1) ON n_nationkey = c_nationkey JOIN (SELECT s_nationkey, count(*) AS n_supplier, round(avg(s_acctbal), 4) AS balance_supplier FROM supplier GROUP BY 1) ON n_nationkey = s_nationkey"""
+
+
+def q_observation_endpoints(spark, sf_dir):
+    """Remote endpoints of the sessions that a list of observations asks for."""
+    from netloom.plans import flow_queries as FQ
+
+    wanted = B.ctx(spark, sf_dir).filter("flow % 3 = 0 AND sid = 0").select("capture_id", "flow", "sid")
+    return E.endpoints_of(FQ.q_remote_endpoint(spark, sf_dir), wanted, ["capture_id", "flow", "sid"])
+
+
+def _endpoint_sql() -> str:
+    from netloom.plans import flow_queries as FQ
+
+    return f"SELECT capture_id, flow, sid, remote_ip FROM ({FQ.ORACLES['q_remote_endpoint']}) WHERE flow % 3 = 0 AND sid = 0"
+
+
+QUERIES["q_observation_endpoints"] = q_observation_endpoints
+ORACLES["q_observation_endpoints"] = _endpoint_sql()
+
+
+def q_expired_sessions(spark, sf_dir):
+    """Sessions that are idle for over a timeout when their capture ends."""
+    s = S.summaries(B.sessions(spark, sf_dir))
+    ends = s.groupBy("capture_id").agg(F.max("end_ts").alias("now"))
+    return S.expired(s.join(ends, "capture_id"), F.col("now"), 48.0).groupBy("capture_id").agg(F.count("*").alias("expired"), F.sum("n_packets").alias("packets"))
+
+
+QUERIES["q_expired_sessions"] = q_expired_sessions
+ORACLES["q_expired_sessions"] = f"WITH {B.SES}, s AS (SELECT capture_id, flow, sid, count(*) AS n, arg_max(ts, pkt_idx) AS e FROM ses GROUP BY ALL), t AS (SELECT *, max(e) OVER (PARTITION BY capture_id) AS now FROM s) SELECT capture_id, count(*) AS expired, CAST(sum(n) AS BIGINT) AS packets FROM t WHERE now - e > 48 GROUP BY capture_id"
+
+
+def q_state_counters(spark, sf_dir):
+    return S.state_counters(S.summaries(B.sessions(spark, sf_dir)), 20)
+
+
+QUERIES["q_state_counters"] = q_state_counters
+ORACLES["q_state_counters"] = f"WITH {B.SES}, s AS (SELECT capture_id, flow, sid, max(sid) OVER (PARTITION BY capture_id, flow) AS last FROM (SELECT DISTINCT capture_id, flow, sid FROM ses)) SELECT capture_id, count(*) AS sessions, count_if(sid < last) AS closed, greatest(count_if(sid < last) - 20, 0) AS dropped, 0 AS evicted FROM s GROUP BY capture_id"
+
+
+def q_matrix_aggregate(spark, sf_dir):
+    from netloom.operators import selection as L
+
+    a = L.aggregated(B.matrix(spark, sf_dir), ["label"])
+    return a.select("label", "feature", *[F.round(c, 6).alias(c) for c in ("mean", "std", "median", "sum")], "n")
+
+
+QUERIES["q_matrix_aggregate"] = q_matrix_aggregate
+ORACLES["q_matrix_aggregate"] = f"WITH {B.MAT} SELECT label, feature, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(median(x), 6) AS median, round(sum(x), 6) AS sum, count(x) AS n FROM mat GROUP BY ALL"

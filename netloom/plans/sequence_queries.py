@@ -62,7 +62,7 @@ def q_seq_gini(spark, sf_dir):
 QUERIES["q_seq_gini"] = q_seq_gini
 ORACLES["q_seq_gini"] = f"WITH {B.CTX}, c AS (SELECT capture_id, flow, count(*) AS c FROM ctx GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY c, flow) AS r FROM c) SELECT capture_id, round(CASE WHEN sum(c) > 0 THEN 2 * sum(r * c) / (count(*) * sum(c)) - (count(*) + 1) / count(*) ELSE 0 END, 6) AS gini, count(*) AS n_counts FROM r GROUP BY capture_id"
 
-BUDGETS = [8, 16]
+BUDGETS = [8, 16, 32, 64, 128]
 
 
 def _budget(b: int) -> dict[str, str]:
