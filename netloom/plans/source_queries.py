@@ -297,6 +297,15 @@ QUERIES["q_stream_parity"] = q_stream_parity
 ORACLES["q_stream_parity"] = "SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS window_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"
 
 
+def q_stream_sliding(spark, sf_dir):
+    """Overlapping windows by kind of event, from a stream."""
+    return SW.drained(SW.sliding_figures(SW.event_stream(spark, sf_dir), "event_type"), ["window_us", "event_type"], scratch(spark, "stream"))
+
+
+QUERIES["q_stream_sliding"] = q_stream_sliding
+ORACLES["q_stream_sliding"] = "WITH w AS (SELECT *, unnest([epoch_us(ts) // 86400000000 - 1, epoch_us(ts) // 86400000000]) * 86400000000 AS window_us FROM events) SELECT window_us, event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most FROM w GROUP BY ALL"
+
+
 def q_idle_sessions(spark, sf_dir):
     e = B.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return SW.idle_sessions(e)

@@ -11,6 +11,12 @@ def tumbling_counts(events: DataFrame, width: str = "1 day") -> DataFrame:
     return events.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.unix_micros("w.start").alias("window_us"), "event_type", "n", "total")
 
 
+def sliding_figures(events: DataFrame, key: str, width: str = "2 days", step: str = "1 day") -> DataFrame:
+    """By overlapping window and key: rows, sum, smallest and largest value. Works on a table and on a stream; on a stream a window's row is updated until the watermark has passed it."""
+    by = events.groupBy(F.window("ts", width, step).alias("w"), key).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return by.select(F.unix_micros("w.start").alias("window_us"), key, "n", "total", "least", "most")
+
+
 def idle_sessions(events: DataFrame, gap: str = "1 day") -> DataFrame:
     """By user: sessions that end after so long without an event."""
     return events.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.unix_micros("w.start").alias("start_us"), "n")
