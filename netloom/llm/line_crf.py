@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.shared import written
+from netloom.llm.shared import lean, written
 
 #: Kinds of bytes whose share of a line is a figure.
 KINDS = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " ", ".", ",", "!", "?", "|", "*#&%$", "<>", "(){}[]", "\"'`", ":;", "/\\", "-_=+~^@", "\t\r\v\f"]
@@ -319,6 +319,7 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Rows i to j and their bytes, as many together as BLOCK allows, one at least."""
+    lean()
     values, starts, ends = _bytes_of(column)
     i = 0
     while i < len(starts):

@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from netloom.llm.shared import lean
 from netloom.llm.token_files import ENDINGS, LETTERS
 from netloom.llm.wordcache import Memo, cut, encoded, gathered, slices, taken
 
@@ -217,6 +218,7 @@ class SentencePieceCodec:
 @functools.lru_cache(2)
 def codec(model_path: str) -> SentencePieceCodec:
     """One for each Python worker."""
+    lean()
     return SentencePieceCodec(model_path)
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from functools import reduce
+from functools import cache, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,16 @@ from pyspark.sql import functions as F
 BITMAP = 1 << 24
 
 
+@cache
+def lean() -> None:
+    """Has a Python worker give memory back as soon as it is free, once for each process: Arrow's own pool and the C library keep it otherwise."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        c = ctypes.CDLL("libc.so.6")
+        c.mallopt(-3, 1 << 18)  # larger pieces are mapped, and unmapped when they are free
+        c.mallopt(-1, 1 << 20)  # free memory at the top beyond this goes back
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors see.
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.shared import dropped, written
+from netloom.llm.shared import dropped, lean, written
 from netloom.llm.wordcache import Memo, cut, encoded, gathered, slices, taken
 
 #: Bytes of a row group, bytes and rows of a page at most.
@@ -141,6 +141,7 @@ class ByteBpe:
 @functools.lru_cache(2)
 def byte_bpe(path: str) -> ByteBpe:
     """One for each Python worker."""
+    lean()
     return ByteBpe(path)
 
 
