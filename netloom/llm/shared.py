@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of a bitmap of hashes.
-BITMAP = 1 << 24
+BITMAP = 1 << 21
 
 
 @cache
@@ -99,7 +99,7 @@ def passes(h: Column, bitmap: Column) -> Column:
 
 
 def bitmap(rows: DataFrame, h: Column) -> DataFrame:
-    """One row with one array of a fixed size (2 MB): the bits of all hashes. As a scalar it lets scans leave out rows that no join will find; the join decides."""
+    """One row with one array of a fixed size (256 KB): the bits of all hashes. As a scalar it lets scans leave out rows that no join will find; the join decides."""
     place = rows.select(F.explode(F.array(*_places(h))).alias("p")).distinct()
     set_ = place.groupBy(F.shiftrightunsigned("p", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
     every = rows.sparkSession.range(BITMAP >> 6).join(set_, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
