@@ -7,6 +7,7 @@ serves the plan here and, by `ansi`, its check in another engine.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -115,5 +116,6 @@ def flag_names(flags: Column) -> Column:
 QUIC_PORTS = (443, 8443, 7890, 853, 8853)
 
 
-def is_quic_port(src: Column, dst: Column) -> Column:
-    return src.isin(*QUIC_PORTS) | dst.isin(*QUIC_PORTS)
+def is_quic_port(*ports: Column) -> Column:
+    """Whether one of the ports is; a client's own port, which is any number, is left out where it is known."""
+    return reduce(Column.__or__, [p.isin(*QUIC_PORTS) for p in ports])
