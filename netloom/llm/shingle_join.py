@@ -10,8 +10,10 @@ of no use as keys. Candidates therefore come from shared shingles, and fingerpri
    their hash: the sample decides how long lists get, never what is found.
 3. Lists. Classes that share a shingle in their prefixes are paired if sizes and places allow the similarity and their fingerprints
    differ in at most `RADIUS` of 128 bits (two sets at 0.8 lie beyond with a probability of under 1e-6). In lists of over `hot`
-   classes, all are paired with a few leaders first; components don't need pairs that are connected already, so further
-   leaders come from other components, and at last only pairs between components are looked at.
+   classes, all are paired with a few leaders first: those with the fewest rare shingles, which most others are near to, and any. Components
+   don't need pairs that are connected already, so further leaders come from other components, and at last only pairs between
+   components are looked at: those whose sets differ in few enough shingles by the parities of `PARITIES` groups of shingles, which
+   never count more than there are. So a dense group makes few pairs, also where most of its members are just not similar.
 4. Pairs are verified by their sets, which are read again from the texts that occur in lists.
 
 Texts move once, and only those that may be in a pair.
@@ -23,6 +25,7 @@ empty texts and those of white space are one class; null ids belong to their com
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -40,6 +43,8 @@ HOT, LEADERS, ROUNDS = 64, 4, 2
 SAMPLED, COMMON, KNOWN = 16, 4, 500_000
 #: Differing bits of 128, beyond which a pair isn't looked at.
 RADIUS = 46
+#: Groups of shingles, by hash, whose parities are compared.
+PARITIES = 512
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -72,11 +77,24 @@ def _prints(hashes: np.ndarray) -> tuple[int, int]:
     return majority(hashes.view("u1").reshape(-1, 8)), majority(more.view("u1").reshape(-1, 8))
 
 
+def _parities(hashes: np.ndarray) -> np.ndarray:
+    """Bits, as longs: whether a group has an odd number of hashes. Two sets differ in as many hashes as bits, or more."""
+    odd = np.bincount(hashes & (PARITIES - 1), minlength=PARITIES) & 1
+    return np.packbits(odd.astype("u1")).view("i8")
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     at = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype("i4")
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, "i8"), *parts])))
 
 
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those pairs (a, b: classes) whose sets are similar."""
+    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")).hint("merge"), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
+    in_common = F.size(F.array_intersect("x", "y"))
+    return written(both.filter(in_common >= (F.size("x") + F.size("y") - in_common) * F.lit(least) - 1e-9).select("a", "b"), "links", short=True)
+
+
 def rows_of(docs: DataFrame, least: float = LEAST, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """id, key (hash of the text), root (of the component, whatever it is) of each row."""
     src = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
@@ -127,15 +145,27 @@ def rows_of(docs: DataFrame, least: float = LEAST, width: int = WIDTH, id_col: s
         bits = F.bit_count(F.col(f"{a}.f").bitwiseXOR(F.col(f"{b}.f"))) + F.bit_count(F.col(f"{a}.g").bitwiseXOR(F.col(f"{b}.g")))
         return (left * (1 + least) + 1e-6 >= m * least) & (bits <= RADIUS)
 
+    def few_apart(a: str, b: str) -> Column:
+        """No similar sets differ in more shingles than this allows."""
+        bits = reduce(Column.__add__, [F.bit_count(F.get(f"{a}.odd", F.lit(i)).bitwiseXOR(F.get(f"{b}.odd", F.lit(i)))) for i in range(PARITIES // 64)])
+        return bits * (1 + least) <= (F.col(f"{a}.m") + F.col(f"{b}.m")) * (1 - least) + 1e-6
+
     def ends(x: DataFrame) -> DataFrame:
         return x.select(F.least("a.class", "b.class").alias("a"), F.greatest("a.class", "b.class").alias("b"))
 
+    def apart(some: DataFrame, lists: DataFrame) -> DataFrame:
+        """Pairs of the same list in different components."""
+        may = (F.col("a.h") == F.col("b.h")) & (F.col("a.root") != F.col("b.root")) & near("a", "b")
+        return ends(some.alias("a").join(lists.alias("b"), may & few_apart("a", "b") if "odd" in some.columns else may)).distinct()
+
     def led(lists: DataFrame, seed: int) -> DataFrame:
         """Pairs of the classes of each list with its leaders, where they aren't connected."""
-        of = F.struct("class", "m", "at", "f", "g", "root")
-        leaders = lists.groupBy("h").agg(*[F.min_by(of, F.struct(F.xxhash64("root", F.lit(seed * LEADERS + i)), F.xxhash64("class", F.lit(i)))).alias(f"l{i}") for i in range(LEADERS)])
+        of = F.struct(*[c for c in lists.columns if c not in ("h", "n")])
+        any_ = [F.struct(F.xxhash64("root", F.lit(seed * LEADERS + i)), "at", F.xxhash64("class", F.lit(i))) for i in range(LEADERS // 2)]
+        central = [F.struct("at", F.xxhash64("class", F.lit(seed * LEADERS + i))) for i in range(LEADERS // 2, LEADERS)]
+        leaders = lists.groupBy("h").agg(*[F.min_by(of, by).alias(f"l{i}") for i, by in enumerate(any_ + central)])
         leaders = leaders.select("h", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("l")).select("h", "l.*")
-        return ends(lists.alias("a").join(leaders.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.root") != F.col("b.root")) & near("a", "b"))).distinct()
+        return apart(lists, leaders)
 
     pairs = few.alias("a").join(few.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.class") < F.col("b.class")) & near("a", "b"))
     first = written(ends(pairs).unionAll(led(many.withColumn("root", F.col("class")), 0)).distinct(), "pairs", short=True)
@@ -150,36 +180,31 @@ def rows_of(docs: DataFrame, least: float = LEAST, width: int = WIDTH, id_col: s
         lean()
         for b in batches:
             sets = [shingles(t.as_py(), width) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in sets], pa.int64()), _lists(sets)], names=["class", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in sets], pa.int64()), _lists(sets), _lists([_parities(x) for x in sets])], names=["class", "set", "odd"])
 
     # Copies fall before they are dealt out.
     once = texts.groupBy("key").agg(F.any_value("text").alias("text")).join(wanted.hint("merge"), "key", "left_semi").select("key", "text")
-    sets = written(once.mapInArrow(set_of, "class long, set array<long>").dropDuplicates(["class"]), "sets", short=True)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")).hint("merge"), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
-        in_common = F.size(F.array_intersect("x", "y"))
-        return written(both.filter(in_common >= (F.size("x") + F.size("y") - in_common) * F.lit(least) - 1e-9).select("a", "b"), "links", short=True)
+    sets = written(once.mapInArrow(set_of, "class long, set array<long>, odd array<long>").dropDuplicates(["class"]), "sets", short=True)
 
-    links = verified(first)
+    links = verified(first, sets, least)
     roots = connected(links)
 
     def mixed() -> DataFrame:
         """Long lists that hold several components."""
         x = many.join(roots.hint("merge"), many["class"] == roots["node"], "left").select("h", "class", "m", "at", "f", "g", F.coalesce("root", "class").alias("root"))
         open_ = x.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("h")
-        return written(x.join(open_, "h", "left_semi"), "mixed", short=True)
+        return written(x.join(open_, "h", "left_semi").join(sets.select("class", "odd").hint("merge"), "class"), "mixed", short=True)
 
     lists = mixed() if not many.isEmpty() else many.limit(0)
     for i in range(1, ROUNDS + 1):
         if lists.isEmpty():
             break
         if i < ROUNDS:
-            more = verified(led(lists, i))
+            more = verified(led(lists, i), sets, least)
         else:  # what is left, component against component
             parts = lists.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
             small = lists.join(parts, "h").filter("root <> most")
-            more = verified(ends(small.alias("a").join(lists.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.root") != F.col("b.root")) & near("a", "b"))).distinct())
+            more = verified(apart(small, lists), sets, least)
         if not more.isEmpty():
             # What is connected already is a star around each root.
             roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))

@@ -51,3 +51,22 @@ def test_stage_keeps_one_of_each_similar_group(spark, sf):
     want = set(brute([(r["doc_id"], r["text"]) for r in docs.collect()]).values())
     stage = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
     assert {r["doc_id"] for r in stage(spark, docs, sf).collect()} == want
+
+
+def test_dense_groups_make_few_pairs(spark, monkeypatch):
+    """Near copies around the threshold: what is verified grows with the texts, not with their pairs, and no link is lost."""
+    r = random.Random(5)
+    base = [f"w{r.randrange(10_000)}" for _ in range(150)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(r.randrange(7)):
+            w[r.randrange(len(w))] = f"v{r.randrange(60)}"
+        rows.append((i, " ".join(w)))
+    looked_at = []
+    verified = shingle_join.verified
+    monkeypatch.setattr(shingle_join, "verified", lambda pairs, *more: looked_at.append(pairs.count()) or verified(pairs, *more))
+    got = shingle_join.similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x["doc_id"]: x["component_id"] for x in got.collect()} == brute(rows)
+    assert len(set(brute(rows).values())) > 100
+    assert sum(looked_at) < 20 * len(rows)
