@@ -1,10 +1,12 @@
-"""Near-duplicate texts: SimHash fingerprints prune candidates, the exact Jaccard similarity of word shingles decides.
+"""Near-duplicate texts: SimHash fingerprints find and prune candidates, the exact Jaccard similarity of word shingles decides.
 
-Two texts are linked if their sets of `width`-word shingles have a similarity of `least` or more. At 0.8, SimHash fingerprints
-of 128 bits differ in 19 on average (deviation 4), so that pigeonring segments that must agree have 2 bits and are
-of no use as keys. Candidates therefore come from shared shingles, and fingerprints prune them before any set is looked at.
+Two texts are linked if their sets of `width`-word shingles have a similarity of `least` or more. Candidates come from two searches, and
+sets decide on all of them. The first is that of simhash.links: pigeonring chains, on both halves of fingerprints of 128 bits, which finds every pair
+that differs in up to 5 of them (then one half differs in 2 bits at most). At a similarity of 0.8 they differ in 19 on average (deviation 4); for a radius that
+covers this, pigeonring segments that must agree have few bits and are of no use as keys. What lies beyond comes from shared shingles, where fingerprints
+prune candidates before any set is looked at.
 
-1. Classes. Texts with equal sets are one class.
+1. Classes. Texts with equal sets are one class. Those within 2 bits of 64 in one half of their fingerprints are candidates (of large groups, stars).
 2. Prefixes. Of m shingles in any order that all texts share, two similar sets have one in common
    among their first m - ceil(least * m) + 1. Shingles go by how often a sample holds them, rare ones first, then by
    their hash: the sample decides how long lists get, never what is found.
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 
 from netloom.llm.components import connected
 from netloom.llm.shared import bitmap, dropped, lean, passes, text_key, written
+from netloom.llm.simhash import links, majority
 
 WIDTH, LEAST = 5, 0.8
 #: Classes in a list, beyond which leaders go first; leaders of a list at once; rounds of them.
@@ -67,8 +70,6 @@ def _class(hashes: np.ndarray) -> int:
 
 def _prints(hashes: np.ndarray) -> tuple[int, int]:
     """128 bits; a bit is 1 if it is set in over half the hashes or, for the second half, in their products with an odd number."""
-    from netloom.llm.simhash import majority
-
     with np.errstate(over="ignore"):
         more = hashes.view("u8") * np.uint64(0x9E3779B97F4A7C15)
         more ^= more >> np.uint64(29)
@@ -88,6 +89,19 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, "i8"), *parts])))
 
 
+def by_print(classes: DataFrame, radius: int = 2) -> DataFrame:
+    """a, b: classes (columns class, m, f, g) within so many bits in one half of their fingerprints, as simhash.links gives them; those of one fingerprint go with the first of them."""
+    found = []
+    for half in ("f", "g"):
+        holders = classes.filter("m > 0").select(F.col(half).alias("fp"), "class")
+        firsts = written(holders.groupBy("fp").agg(F.min("class").alias("class"), F.count("*").alias("n")), "prints", short=True)
+        one = lambda end: firsts.select(F.col("fp").alias(end), F.col("class").alias(f"{end}_class")).hint("merge")  # noqa: E731, B023
+        near = links(firsts.select("fp"), radius).join(one("a"), "a").join(one("b"), "b").select("a_class", "b_class")
+        same = holders.join(firsts.filter("n > 1").select("fp", F.col("class").alias("a_class")).hint("merge"), "fp").filter("class <> a_class").select("a_class", F.col("class").alias("b_class"))
+        found.append(near.unionAll(same))
+    return found[0].unionAll(found[1]).select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those pairs (a, b: classes) whose sets are similar."""
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")).hint("merge"), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
@@ -168,7 +182,8 @@ def rows_of(docs: DataFrame, least: float = LEAST, width: int = WIDTH, id_col: s
         return apart(lists, leaders)
 
     pairs = few.alias("a").join(few.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.class") < F.col("b.class")) & near("a", "b"))
-    first = written(ends(pairs).unionAll(led(many.withColumn("root", F.col("class")), 0)).distinct(), "pairs", short=True)
+    near_prints = written(by_print(classes), "near", short=True)
+    first = written(ends(pairs).unionAll(led(many.withColumn("root", F.col("class")), 0)).unionAll(near_prints).distinct(), "pairs", short=True)
 
     # Sets of all classes that may be in a pair, from one text of each.
     wanted = first.select(F.col("a").alias("class")).unionAll(first.select(F.col("b").alias("class"))).unionAll(many.select("class")).distinct()
@@ -186,8 +201,7 @@ def rows_of(docs: DataFrame, least: float = LEAST, width: int = WIDTH, id_col: s
     once = texts.groupBy("key").agg(F.any_value("text").alias("text")).join(wanted.hint("merge"), "key", "left_semi").select("key", "text")
     sets = written(once.mapInArrow(set_of, "class long, set array<long>, odd array<long>").dropDuplicates(["class"]), "sets", short=True)
 
-    links = verified(first, sets, least)
-    roots = connected(links)
+    roots = connected(verified(first, sets, least))
 
     def mixed() -> DataFrame:
         """Long lists that hold several components."""

@@ -70,3 +70,39 @@ def test_dense_groups_make_few_pairs(spark, monkeypatch):
     assert {x["doc_id"]: x["component_id"] for x in got.collect()} == brute(rows)
     assert len(set(brute(rows).values())) > 100
     assert sum(looked_at) < 20 * len(rows)
+
+
+def test_close_fingerprints_are_candidates(spark):
+    """The pigeonring search gives the components of fingerprints within 2 bits in one half, small and large groups alike."""
+    r = random.Random(3)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    prints = []
+    for size in (1, 1, 2, 5, 40, 300):
+        f, g = r.getrandbits(64), r.getrandbits(64)
+        for _ in range(size):
+            flips = [1 << r.randrange(64) for _ in range(r.randrange(4))]
+            prints.append((f ^ sum(set(flips)), r.getrandbits(64)) if r.random() < 0.5 else (r.getrandbits(64), g ^ sum(set(flips))))
+    classes = [(i * 7 - 900, 10, signed(f), signed(g)) for i, (f, g) in enumerate(prints)]
+    near = lambda x, y: min(((x[k] ^ y[k]) & (2**64 - 1)).bit_count() for k in (2, 3)) <= 2
+    want = {c[0]: c[0] for c in classes}
+    for i, x in enumerate(classes):
+        for y in classes[:i]:
+            if near(x, y) and want[x[0]] != want[y[0]]:
+                low, high = sorted((want[x[0]], want[y[0]]))
+                want = {c: low if z == high else z for c, z in want.items()}
+    frame = spark.createDataFrame([*classes, (5000, 0, 0, 0), (5001, 0, 0, 0)], "class long, m int, f long, g long")
+    found = shingle_join.by_print(frame)
+    assert found.filter("a >= 5000 or b >= 5000").isEmpty()
+    roots = {x["node"]: x["root"] for x in shingle_join.connected(found).collect()}
+    assert {c: roots.get(c, c) for c in want} == want
+
+
+def test_stage_searches_by_fingerprints(spark, monkeypatch):
+    """Both halves of the fingerprints go through the pigeonring search."""
+    called = []
+    links = shingle_join.links
+    monkeypatch.setattr(shingle_join, "links", lambda prints, *more: called.append(prints.columns) or links(prints, *more))
+    stage = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g "), (3, "h")], "doc_id long, text string")
+    assert {x["doc_id"] for x in stage(spark, docs, "").collect()} == {1, 3}
+    assert called == [["fp"], ["fp"]]
