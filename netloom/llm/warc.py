@@ -7,7 +7,8 @@ those of attempts that ended well, and what a lost executor left behind is never
 
 Equal payloads of at least `least_bytes` are stored once: the row with the largest id is a response, the others
 are revisits that refer to it. Which rows these are is found from digests and ids alone; groups are
-reduced to their largest id before anything is joined, and payloads move once, by their unique id.
+reduced to their largest id before anything is joined. Only payloads of rows that may be revisits, by a bitmap of a
+fixed size, move to the join that decides; all others are written by the task that scans them.
 
 Reading: choose index rows, sort them by file and offset, and fetch neighbouring records
 with one read (gaps up to `gap` bytes are read too, one read holds up to `span` bytes). Reads are
@@ -32,6 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netloom.llm.shared import bitmap, dropped, lean, passes, thinned, written
+from netloom.llm.wordcache import slices
+
 #: Smaller payloads are always stored.
 LEAST_BYTES = 1000
 #: An archive is closed beyond so many bytes.
@@ -100,19 +104,25 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     large = rows.filter(F.octet_length("payload") >= least_bytes).select("id", "digest")
     groups = large.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").select("digest", "refers_to")
-    revisits = large.join(groups, "digest").filter("id < refers_to").select("id", "digest", "refers_to").distinct()
-    # Without the payload the digests are small; with it, rows move once, by id and digest.
-    typed = rows.join(revisits.withColumnRenamed("digest", "_digest").withColumnRenamed("id", "_id"), (F.col("id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left").select("id", "url", "payload", "digest", "refers_to")
+    revisits = written(large.join(groups, "digest").filter("id < refers_to").select("id", "digest", "refers_to").distinct(), "revisits", short=True)
+    bits = bitmap(revisits, F.xxhash64("id", "digest"))
+    may = (F.octet_length("payload") >= least_bytes) & passes(F.xxhash64("id", "digest"), bits.scalar())
+    clear = rows.filter(~may).withColumn("refers_to", F.lit(None).cast("long"))
+    known = revisits.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "refers_to").hint("merge")  # never broadcast: it grows with the pages
+    rest = rows.filter(may).join(known, (F.col("id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    columns = ["id", "url", "payload", "digest", "refers_to"]
+    typed = clear.select(columns).unionAll(thinned(rest.select(columns), 8))
     target = f"{folder}/archives"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
+        lean()
         store, base = fs.FileSystem.from_uri(target)
         store.create_dir(base, recursive=True)
         out, name, at = None, "", 0
         try:
-            for b in batches:
+            for b in (part for whole in batches for part in slices(whole, 2)):
                 found = []
                 for row_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     if out is None or at > archive:
@@ -136,6 +146,8 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
     # Index rows are committed only after their task, and so its archives, ended well.
     typed.mapInArrow(run, INDEX).write.option("compression", "zstd").parquet(f"{folder}/index")
+    dropped(revisits)
+    dropped(bits)
     return index(spark, folder)
 
 
@@ -176,6 +188,7 @@ def read(chosen: DataFrame, payloads: bool = True, gap: int = GAP, span: int = S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
+        lean()
         open_name, source = None, None
         for b in batches:
             ranges = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
