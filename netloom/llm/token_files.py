@@ -31,6 +31,8 @@ from netloom.llm.wordcache import Memo, cut, encoded, gathered, slices, taken
 
 #: Bytes of a row group, bytes and rows of a page at most.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 500
+#: Bytes of texts that are looked at together: the more, the fewer distinct words are told apart and looked up again.
+TOGETHER = 16 << 20
 
 
 #: Punctuation that may end a word (not the apostrophe, which may begin an ending of its own).
@@ -132,7 +134,7 @@ class ByteBpe:
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each has; null is empty."""
         whole = lambda text: np.array(self._tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<i4")
-        return encoded(texts, self._odd, self._plain, whole)
+        return encoded(texts, self._odd, self._plain, whole, TOGETHER)
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all(pa.array([text], pa.string()))[0]
@@ -154,7 +156,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_c
 
     def packed_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = byte_bpe(tokenizer_path)
-        for b in (part for whole in batches for part in slices(whole, 2)):
+        for b in (part for whole in batches for part in slices(whole, 2, TOGETHER)):
             ids, n = tok.encode_all(b.column(2))
             upto = tok.width * np.concatenate([[0], np.cumsum(n)])
             raw = ids.astype(f"<u{tok.width}").tobytes()
@@ -176,7 +178,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_c
 
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    packed = written(src.mapInArrow(packed_ids, f"id {kind}, row long, width int, packed binary"), "packed", **{"parquet.enable.dictionary": "false"})
+    packed = written(src.mapInArrow(packed_ids, f"id {kind}, row long, width int, packed binary"), "packed", **{"parquet.enable.dictionary": "false", "parquet.compression.codec.zstd.level": "1"})  # read once
     # By id and row, so that many rows of one id make several ranges.
     dealt = packed.repartitionByRange("id", "row").sortWithinPartitions("id", "row").select("id", "width", "packed")
     (

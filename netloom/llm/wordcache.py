@@ -50,10 +50,10 @@ class Memo:
         return got
 
 
-def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about BLOCK bytes of the given column, so that what is made of them stays small."""
+def slices(batch: pa.RecordBatch, text: int, most: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about so many bytes of the given column, so that what is made of them stays small."""
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-    cuts = np.flatnonzero(np.diff(np.cumsum(size, dtype="i8") // BLOCK)) + 1
+    cuts = np.flatnonzero(np.diff(np.cumsum(size, dtype="i8") // most)) + 1
     for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
         if j > i:
             yield batch.slice(i, j - i)
@@ -83,8 +83,8 @@ def cut(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
     return words.dictionary, words.indices.to_numpy().copy(), first
 
 
-def encoded(texts: pa.Array, odd: str | None, plain_ids: Callable, whole_ids: Callable) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, one after another, and how many each has; null is empty.
+def encoded(texts: pa.Array, odd: str | None, plain_ids: Callable, whole_ids: Callable, most: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, one after another, and how many each has; null is empty. Blocks have about `most` bytes.
 
     plain_ids(texts, begins) encodes texts, or parts of one (those that don't begin it); whole_ids(text) the texts that match odd.
     """
@@ -95,11 +95,11 @@ def encoded(texts: pa.Array, odd: str | None, plain_ids: Callable, whole_ids: Ca
         plain &= ~pc.match_substring_regex(texts, odd).to_numpy(zero_copy_only=False)
     counts = np.zeros(len(texts), "i8")
     out: list[np.ndarray] = []
-    block = np.cumsum(size) // BLOCK
+    block = np.cumsum(size) // most
     i = 0
     while i < len(size):
         j = i + 1
-        if plain[i] and size[i] <= BLOCK:  # a run of plain texts of one block
+        if plain[i] and size[i] <= most:  # a run of plain texts of one block
             while j < len(size) and plain[j] and block[j] == block[i]:
                 j += 1
             ids, counts[i:j] = plain_ids(texts.slice(i, j - i), np.ones(j - i, bool))
@@ -107,7 +107,7 @@ def encoded(texts: pa.Array, odd: str | None, plain_ids: Callable, whole_ids: Ca
         elif plain[i]:  # a long one, in parts that end before a space
             text, at = texts[i].as_py(), 0
             while at < len(text):
-                end = text.find(" ", at + BLOCK)
+                end = text.find(" ", at + most)
                 end = len(text) if end < 0 else end
                 ids, n = plain_ids(pa.array([text[at:end]]), np.array([at == 0]))
                 out.append(ids)
